@@ -72,13 +72,17 @@ def schema_paths(kind: T.DataType, prefix: str = "") -> list[str]:
     return []
 
 
+def prefixed(prefix: str):
+    return lambda key: F.concat(F.lit(prefix), key)
+
+
 def json_fingerprint(json: Column) -> Column:
     """`fingerprint` of the field paths of a JSON object, list elements seen through their first one."""
     empty = F.array().cast("array<string>")
     keys = [F.coalesce(F.json_object_keys(json), empty)]
     for name in LISTS:
         inner = F.coalesce(F.json_object_keys(F.get_json_object(json, f"$.{name}[0]")), empty)
-        keys.append(F.transform(inner, lambda k, name=name: F.concat(F.lit(f"{name}[]."), k)))
+        keys.append(F.transform(inner, prefixed(f"{name}[].")))
     known = F.array_intersect(F.concat(*keys), F.array(*map(F.lit, KNOWN_PATHS)))
     return F.sha2(F.array_join(F.sort_array(known), "\n"), 256)
 
@@ -88,6 +92,11 @@ def canonical_role(role: Column) -> Column:
     return F.coalesce(F.try_element_at(names, role), role, F.lit(""))
 
 
+def renamed(role: str, text: str):
+    """A list item's canonical turn."""
+    return lambda x: F.struct(canonical_role(x[role]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))
+
+
 def turns_from_json(df: DataFrame, json: str = "json") -> DataFrame:
     """Adds `layout` and `turns` to rows that hold one conversation each as a JSON object of any known layout."""
     choices_name, choices_turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
@@ -96,7 +105,7 @@ def turns_from_json(df: DataFrame, json: str = "json") -> DataFrame:
         if layout.items:
             name, role, content = layout.items
             items = F.from_json(text, f"`{name}` array<struct<`{role}`:string,`{content}`:string>>")[name]
-            turns = F.transform(items, lambda x, r=role, c=content: F.struct(canonical_role(x[r]).alias("role"), F.coalesce(x[c], F.lit("")).alias("text")))
+            turns = F.transform(items, renamed(role, content))
         elif layout.fields:
             parts = [
                 F.struct(F.lit(role).alias("role"), F.array_join(F.filter(F.array(*[F.get_json_object(text, f"$.{f}") for f in fields]), lambda x: x.isNotNull() & (x != "")), "\n\n").alias("text"))

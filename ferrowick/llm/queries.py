@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import q_chat
+from . import q_chat, q_quality, q_secrets
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for module in (q_chat,):
+for module in (q_chat, q_quality, q_secrets):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
