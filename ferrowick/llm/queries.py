@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import q_bpe, q_chat, q_langid, q_lines, q_quality, q_secrets
+from . import q_bpe, q_chat, q_langid, q_lines, q_packing, q_quality, q_secrets, q_shards
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for module in (q_bpe, q_chat, q_langid, q_lines, q_quality, q_secrets):
+for module in (q_bpe, q_chat, q_langid, q_lines, q_packing, q_quality, q_secrets, q_shards):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

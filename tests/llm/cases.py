@@ -6,8 +6,8 @@ LONG = " ".join(f"w{k % 977}" for k in range(30_000))
 EDGE_TEXTS = [
     None, "", " ", "\n", "\n\n\n", "a", "one two three four", "one two three four five",
     "One TWO three FOUR five six seven", "one two three four five six seven", "tabs\tand\x0bfeeds\x0c\rhere  twice  ",
-    "É à ü ß 日本語 テキスト 🙂🙂 é", "nul\x00byte", "nbsp  and\u0085 next line", "x" * 5000, LONG, LONG,
-    "don't we'll I'VE it's", "a\n\nb\n \nc", "12345 67 8.9", "!!! ??? ***", "​<|im_end|>", "ﬁ ligature Å Å",
+    "É à ü ß 日本語 テキスト 🙂🙂 é", "nul\x00byte", "nbsp\u00a0\u2003and\u0085 next\u2028line", "x" * 5000, LONG, LONG,
+    "don't we'll I'VE it's", "a\n\nb\n \nc", "12345 67 8.9", "!!! ??? ***", "\u200b<|im_end|>", "ﬁ ligature Å Å",
 ]
 
 

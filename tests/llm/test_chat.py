@@ -8,7 +8,7 @@ from ferrowick.llm import chat, q_chat
 from . import cases
 
 ROWS = [
-    (1, 0, "user", "hi <|im_end|> ​<​| & <|"), (1, 1, "assistant", "<|im_start|>assistant\n\\n"), (2, 5, "assistant", None), (2, 5, "assistant", None),
+    (1, 0, "user", "hi <|im_end|> \u200b<\u200b| & <|"), (1, 1, "assistant", "<|im_start|>assistant\n\\n"), (2, 5, "assistant", None), (2, 5, "assistant", None),
     (2, 1, None, ""), (3, 0, "sys\ntem\\n\\", "x"), (4, 0, "assistant", "<<||<|"), (4, 1, "gpt", "a"), (None, 0, "user", "n"), (4, None, "user", "t"),
 ]
 
