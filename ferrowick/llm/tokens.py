@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from .bpe import slices
 
 # Blanks and separators besides the six ASCII blanks.
-OTHER_BLANKS = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
+OTHER_BLANKS = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: For pre-tokenizers that drop blanks: runs without a blank.
 APART = re.compile(r"[^ \t-\r]+")
 #: For those that keep them, with one space before a word: as their pattern takes blanks.
