@@ -108,3 +108,19 @@ class BlobLedger:
         self.parts += 1
         hits = self.seen(version).where(F.size("spans") > 0)
         return where.join(hits, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
+
+    def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """(blob, spans) of all blobs scanned under these rules that hold a secret."""
+        return self.seen(rules_version(rules)).where(F.size("spans") > 0)
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """`text` with each stretch of spans that overlap put as [secret]. `spans` in order of start."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(acc: Column, span: Column) -> Column:
+        gap = F.concat(F.substring(text, acc["at"] + 1, span["start"] - acc["at"]), F.lit("[secret]"))
+        parts = F.when(span["start"] >= acc["at"], F.concat(acc["parts"], F.array(gap))).otherwise(acc["parts"])
+        return F.struct(F.greatest(acc["at"], span["stop"]).alias("at"), parts.alias("parts"))
+
+    return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
