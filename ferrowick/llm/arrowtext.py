@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+#: Rows whose new columns are made at once.
+SLICE_ROWS = 1000
+
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and its n + 1 offsets in them; null counts as empty."""
@@ -29,7 +32,7 @@ def with_arrays(df: DataFrame, schema: str, inputs: list[str], added: Callable[[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = added()
-        for batch in batches:
+        for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
             columns = function(*[batch.column(batch.schema.get_field_index(name)) for name in inputs])
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *[f.name for f in new]])
 

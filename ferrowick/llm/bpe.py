@@ -161,3 +161,17 @@ def decode(df: DataFrame, ranks_file: str, pattern: str, ids: str = "_bpe_ids")
         return run
 
     return with_arrays(df, "_bpe_bytes binary", [ids], prepare)
+
+
+def round_trip(df: DataFrame, ranks_file: str, pattern: str, text: str = "text") -> DataFrame:
+    """`df` with _bpe_ids and _bpe_bytes: encoded, and decoded from the ids, by the same worker and its one codec."""
+
+    def prepare() -> Callable:
+        def run(texts: pa.Array) -> list[pa.Array]:
+            own = codec(ranks_file, pattern)
+            ids = own.encode([t or "" for t in texts.to_pylist()])
+            return [pa.array(ids, pa.binary()), pa.array(own.decode(ids), pa.binary())]
+
+        return run
+
+    return with_arrays(df, "_bpe_ids binary, _bpe_bytes binary", [text], prepare)

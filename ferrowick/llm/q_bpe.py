@@ -14,8 +14,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     using = (public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
-    encoded = bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), *using).select("doc_id", "_bpe_ids")
-    out = bpe.decode(encoded, *using)
+    out = bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), *using)
     return out.select(
         "doc_id",
         (F.octet_length("_bpe_ids") / 4).cast("long").alias("n_tokens"),

@@ -47,5 +47,12 @@ def test_bounded_pieces_and_unknown_ids(reference, monkeypatch):
         own.decode([(60_000).to_bytes(4, "little")])
 
 
+def test_encode_and_decode_apart(spark):
+    using = (public_tokenizers.path(q_bpe.VOCABULARY), public_tokenizers.PATTERN)
+    df = cases.documents(spark, cases.random_texts(5) + [None])
+    rows = bpe.decode(bpe.encode(df, *using), *using).collect()
+    assert all(r["_bpe_bytes"] == (r["text"] or "").encode() for r in rows)
+
+
 def test_empty_table(spark, tmp_path):
     assert q_bpe.op4_byte_bpe(spark, cases.folder(spark, tmp_path, documents=cases.documents(spark, []))).count() == 0
