@@ -100,7 +100,7 @@ class Codec:
         out: list[bytes] = []
         for low, high in slices([len(t) for t in texts], SLICE_CHARS):
             split = [self.pattern.findall(t) for t in texts[low:high]]
-            new = list(set().union(*split) - self.kept.keys())
+            new = [p for p in set().union(*split) if p not in self.kept]
             if len(self.kept) + len(new) > PIECES_KEPT:
                 self.kept.clear()
                 new = list(set().union(*split))

@@ -115,8 +115,8 @@ def pack_documents(docs: DataFrame, encode: Callable[[], Callable[[list[str]], l
 
         for batch in batches:
             key_type = batch.column(0).type
-            for low in range(0, batch.num_rows, 200):
-                part = batch.slice(low, 200)
+            for low in range(0, batch.num_rows, 1000):
+                part = batch.slice(low, 1000)
                 for k, ids in zip(part.column(0).to_pylist(), ids_of([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     if held and tokens + len(ids) // 4 > size * window_sequences:
                         yield emptied()

@@ -168,8 +168,8 @@ def write_shards(docs: DataFrame, folder: str, encode: Callable[[], Callable[[li
                 system.create_dir(path.rpartition("/")[0], recursive=True)
                 sink = system.open_output_stream(draft)
                 writer = ShardWriter(sink, id_bytes)
-            for low in range(0, batch.num_rows, 200):
-                part = batch.slice(low, 200)
+            for low in range(0, batch.num_rows, 1000):
+                part = batch.slice(low, 1000)
                 for k, ids in zip(part.column(0).to_pylist(), ids_of([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     writer.add(key_bytes(k), np.frombuffer(ids, "<u4").astype(f"<u{id_bytes}").tobytes())
         if writer is not None:

@@ -1,4 +1,4 @@
-"""Token ids by a vocabulary of the tokenizers library, each distinct chunk of a task's texts encoded once.
+"""Token ids by a vocabulary of the tokenizers library, each distinct chunk of a worker's texts encoded once.
 
 A text is cut at ASCII blanks into chunks that the vocabulary's own pre-tokenizer never joins, so the ids of a text are
 the ids of its chunks in turn. Where that can't be told, in texts with other blanks or controls that may count as
@@ -8,6 +8,7 @@ blanks, the whole text is encoded at once. Strings of special tokens are ordinar
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -20,32 +21,57 @@ OTHER_BLANKS = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2
 APART = re.compile(r"[^ \t-\r]+")
 #: For those that keep them, with one space before a word: as their pattern takes blanks.
 TOGETHER = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
-CHUNKS_KEPT = 250_000
-SLICE_CHARS = 2_000_000
+#: Punctuation that ends a word; no apostrophe, which may begin a piece such as "'s".
+ENDINGS = r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
+CHUNKS_KEPT = 1_300_000
+SLICE_CHARS = 4_000_000
+
+
+def parted(chunk: str) -> tuple[str, str]:
+    """The chunk and its final run of punctuation after a letter or number: a place where every vocabulary here cuts."""
+    stem = chunk.rstrip(ENDINGS)
+    return (stem, chunk[len(stem) :]) if len(stem) < len(chunk) and stem[-1:].isalnum() else (chunk, "")
 
 
 class Encoder:
-    """`keeps_blanks`: whether the vocabulary has tokens for blanks."""
+    """`keeps_blanks`: whether the vocabulary has tokens for blanks; one that has none here also lower-cases.
+
+    At most CHUNKS_KEPT chunks, stems and endings are kept between batches, so that a worker encodes most words once.
+    """
 
     def __init__(self, path: str, keeps_blanks: bool):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.keeps_blanks = keeps_blanks
         self.chunks = TOGETHER if keeps_blanks else APART
         self.kept: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = (np.cumsum([len(x) for x in lists], dtype=np.int64) * 4).tolist()
+        raw = np.fromiter(chain.from_iterable(lists), "<u4").tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Take the ids of chunks into `kept`: those of their stems and endings, encoded where they are new too."""
+        new = [c for c in chunks if c not in self.kept]  # a set difference would go through all that is kept
+        if len(self.kept) + len(new) > CHUNKS_KEPT:
+            self.kept.clear()
+            new = list(chunks)
+        parts = {c: parted(c) for c in new}
+        if not self.keeps_blanks:
+            parts = {c: (s.lower() if s.isascii() else s, e) for c, (s, e) in parts.items()}
+        fresh = [x for x in {x for pair in parts.values() for x in pair} if x not in self.kept]
+        kept = self.kept
+        kept.update(zip(fresh, self._ids(fresh), strict=True))
+        kept.update({c: kept[s] + kept[e] if e else kept[s] for c, (s, e) in parts.items()})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
         out: list[bytes] = []
         for low, high in slices([len(t) for t in texts], SLICE_CHARS):
             split = [[t] if OTHER_BLANKS.search(t) else self.chunks.findall(t) for t in texts[low:high]]
-            new = list(set().union(*split) - self.kept.keys())
-            if len(self.kept) + len(new) > CHUNKS_KEPT:
-                self.kept.clear()
-                new = list(set().union(*split))
-            self.kept |= dict(zip(new, self._ids(new), strict=True))
+            self._learn(set().union(*split))
             out += [b"".join(map(self.kept.__getitem__, chunks)) for chunks in split]
         return out
 
