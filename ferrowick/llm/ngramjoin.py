@@ -23,7 +23,8 @@ Surviving pairs are verified on the whole sets. Work follows from what is known
 
 Defined results: null or blank texts and those without words have an empty set and link with nothing; texts with fewer
 than five words have their whole word sequence as one shingle; rows that share an id are one node of the graph; rows of
-null id link with nothing and have a null component; an empty table gives no rows. Only the MASS_GROUPS sums reach the driver.
+null id link with nothing and have a null component; an empty table gives no rows. Only MASS_GROUPS sums and a filter of FILTER_BITS reach the
+driver.
 """
 
 from __future__ import annotations
@@ -35,9 +36,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .arrowtext import text_bytes, with_arrays
-from .common import stored
+from .arrowtext import SLICE_ROWS, text_bytes, with_arrays
+from .common import delete, new_path, stored
 from .components import connected_components
 from .shingles import Hasher, text_slices
 from .vectordup import whole_groups
@@ -50,6 +52,8 @@ MASS_GROUPS = 1 << MASS_BITS
 #: Coordinates of the leaves' points.
 COARSE = 64
 PAGE = 256
+#: Size of the filter that finds the documents to verify: 2 MB.
+FILTER_BITS, FILTER_HASHES = 1 << 24, 4
 
 
 def group_mass(docs: DataFrame, text: str) -> np.ndarray:
@@ -156,16 +160,39 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return with_arrays(both, "may boolean", ["na", "nb", "pa", "pb"], prepare).where("may").select("a", "b")
 
 
+def member_filter(nodes: DataFrame) -> np.ndarray:
+    """A Bloom filter of ids with FILTER_BITS bits: at most FILTER_BITS / 64 rows reach the driver."""
+    places = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(FILTER_BITS)) for k in range(FILTER_HASHES)]))
+    words = nodes.select(places.alias("b")).groupBy(F.floor(F.col("b") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(pmod(b, 64) AS INT))")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words.collect():
+        out[r["w"]] = r["bits"]
+    return out.view(np.uint64)
+
+
 def whole_sets(docs: DataFrame, nodes: DataFrame, ranks, key: str, text: str) -> DataFrame:
-    """doc_id and its whole set for the given nodes."""
-    held = docs.sparkSession.sparkContext.broadcast(ranks)
+    """doc_id and its whole set for the given nodes.
 
-    def prepare():
-        hasher = Hasher()
-        return lambda texts: [pa.array([own.view(np.int64) for own in ordered_sets(texts, hasher, held.value)], pa.list_(pa.int64()))]
+    Texts aren't dealt out: a filter of bounded size finds the documents to hash, and a join drops those it let
+    through by chance. Where there are so many nodes that it lets all through, all are hashed.
+    """
+    context = docs.sparkSession.sparkContext
+    held, members = context.broadcast(ranks), context.broadcast(member_filter(nodes))
 
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("body")).join(nodes.hint("shuffle_hash"), "doc_id", "left_semi")
-    return with_arrays(rows, "shingles array<long>", ["body"], prepare).drop("body")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, words = Hasher(), members.value
+        for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
+            places = np.stack([batch.column(k).to_numpy() for k in range(2, 2 + FILTER_HASHES)])
+            inside = ((words[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1)).all(axis=0)
+            some = batch.filter(pa.array(inside))
+            if some.num_rows:
+                sets = [own.view(np.int64) for own in ordered_sets(some.column(1), hasher, held.value)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("body"))
+    rows = rows.select("doc_id", "body", *[F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(FILTER_BITS)).alias(f"b{k}") for k in range(FILTER_HASHES)])
+    schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("shingles array<long>").fields])
+    return rows.mapInArrow(run, schema).join(nodes, "doc_id", "left_semi")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -251,18 +278,26 @@ def leaf_pairs(leaves: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id reachable by links) of every row."""
+    spark = docs.sparkSession
     ranks = ranks_of(group_mass(docs, text))
-    own = stored(sketches(docs, ranks, key, text), "sketches")
-    filled = own.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    path = new_path(spark, "sketches")
+    sketches(docs, ranks, key, text).write.parquet(path)
+    full = spark.read.parquet(path)
+    own = stored(full.select("doc_id", "n", "s1", "s2"), "digests")
+    filled = full.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = stored(filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "set-classes")
     points = filled.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi")
     met = stored(stars(points), "stars")
     nodes = met.select(F.col("hub").alias("doc_id")).unionByName(met.select(F.col("node").alias("doc_id"))).distinct()
     points = stored(points.join(nodes, "doc_id", "left_semi").select("doc_id", "n", "point").dropDuplicates(), "points")
-    sets = stored(whole_sets(docs, nodes, ranks, key, text), "sets")
+    delete(spark, path)
+
+    def check(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        return stored(verified(pairs, stored(whole_sets(docs, stored(ends, "ends"), ranks, key, text), "sets")), "links")
 
     tried = stored(met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
-    links = stored(verified(bounded(tried, points), sets), "links")
+    links = check(stored(bounded(tried, points), "bounded-pairs"))
     groups = connected_components(links)
 
     members = met.select("entry", F.col("node").alias("doc_id")).unionByName(met.select("entry", F.col("hub").alias("doc_id")).distinct())
@@ -271,8 +306,9 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     under = members.join(open_.select("entry"), "entry", "left_semi").join(points, "doc_id")
     place = F.row_number().over(Window.partitionBy("entry").orderBy("n", "doc_id"))
     leaves = stored(under.withColumn("page", F.floor((place - 1) / PAGE).cast("int")), "leaves")
-    more = leaf_pairs(leaves, page_pairs(stored(rectangles(leaves), "pages"))).join(tried, ["a", "b"], "left_anti")
-    links = stored(links.unionByName(verified(more, sets)), "links")
+    more = stored(leaf_pairs(leaves, page_pairs(stored(rectangles(leaves), "pages"))).join(tried, ["a", "b"], "left_anti"), "leaf-pairs")
+    if not more.isEmpty():
+        links = stored(links.unionByName(check(more)), "links")
 
     groups = connected_components(links).withColumnRenamed("node", "rep")
     known = classes.join(groups, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
