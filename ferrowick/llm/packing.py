@@ -86,10 +86,10 @@ def pack(lengths: list[int], size: int, cost: Cost) -> list[tuple[int, int, int,
     return pieces
 
 
-def pack_documents(docs: DataFrame, encode: Callable[[], Callable[[list[str]], list[bytes]]], key: str = "doc_id", text: str = "text", size: int = 2048, window_sequences: int = 512, cost: Cost = Cost()) -> DataFrame:
+def pack_documents(docs: DataFrame, encode: Callable[[], Callable[[pa.Array], list[bytes]]], key: str = "doc_id", text: str = "text", size: int = 2048, window_sequences: int = 512, cost: Cost = Cost()) -> DataFrame:
     """One row for each piece: key, start, length, ids (little-endian 32 bits), doc_tokens, sequence_id, offset.
 
-    `encode()` is called in each task and returns a function from texts to ids.
+    `encode()` is called in each task and returns a function from an array of texts to ids.
     """
     schema = T.StructType([docs.schema[key], *T.StructType.fromDDL("start long, length long, ids binary, doc_tokens long, sequence_id long, offset long").fields])
     names = schema.names
@@ -117,7 +117,7 @@ def pack_documents(docs: DataFrame, encode: Callable[[], Callable[[list[str]], l
             key_type = batch.column(0).type
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
-                for k, ids in zip(part.column(0).to_pylist(), ids_of([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                for k, ids in zip(part.column(0).to_pylist(), ids_of(part.column(1)), strict=True):
                     if held and tokens + len(ids) // 4 > size * window_sequences:
                         yield emptied()
                     keys.append(k)

@@ -151,10 +151,10 @@ class ShardReader:
         return found
 
 
-def write_shards(docs: DataFrame, folder: str, encode: Callable[[], Callable[[list[str]], list[bytes]]], key: str = "doc_id", text: str = "text", id_bytes: int = 2) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, encode: Callable[[], Callable[[pa.Array], list[bytes]]], key: str = "doc_id", text: str = "text", id_bytes: int = 2) -> DataFrame:
     """Write the shards; one row for each, in order of key: shard, path, entries, ids, and ids_before (in earlier shards).
 
-    `encode()` is called in each task and returns a function from texts to ids as little-endian 32-bit integers.
+    `encode()` is called in each task and returns a function from an array of texts to ids as little-endian 32-bit integers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +170,7 @@ def write_shards(docs: DataFrame, folder: str, encode: Callable[[], Callable[[li
                 writer = ShardWriter(sink, id_bytes)
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
-                for k, ids in zip(part.column(0).to_pylist(), ids_of([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                for k, ids in zip(part.column(0).to_pylist(), ids_of(part.column(1)), strict=True):
                     writer.add(key_bytes(k), np.frombuffer(ids, "<u4").astype(f"<u{id_bytes}").tobytes())
         if writer is not None:
             writer.close()

@@ -21,14 +21,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
-_BYTES[65:91] = _BYTES[97:123]  # A-Z as a-z
+def byte_values(lower: bool) -> np.ndarray:
+    """What each byte adds to a rolling hash; with `lower`, A-Z as a-z."""
+    values = mixed(np.arange(1, 257, dtype=np.uint64))
+    if lower:
+        values[65:91] = values[97:123]
+    return values
 
 
 class Hasher:
     """Keeps the powers of the rolling hash between slices."""
 
-    def __init__(self):
+    def __init__(self, values: np.ndarray | None = None):
+        self.values = byte_values(lower=True) if values is None else values
         self.powers = self.inverses = np.zeros(0, np.uint64)
 
     def _reserve(self, n: int) -> None:
@@ -37,10 +42,18 @@ class Hasher:
             self.powers = np.cumprod(np.full(size, _BASE))
             self.inverses = np.cumprod(np.full(size, _INVERSE))
 
+    def spans(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the spans of bytes."""
+        n = len(flat)
+        self._reserve(n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.values[flat] * self.powers[:n], out=sums[1:])
+        at = np.minimum(starts, max(n - 1, 0))
+        return mixed((sums[ends] - sums[starts]) * self.inverses[at] + (ends - starts).astype(np.uint64)) if n else np.zeros(len(starts), np.uint64)
+
     def words(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words, and where each text's words begin (one more at the end)."""
         n = len(flat)
-        self._reserve(n)
         inside = np.zeros(n + 1, bool)
         inside[:n] = ~_BLANK[flat]
         before = np.zeros(n + 1, bool)
@@ -49,10 +62,7 @@ class Hasher:
         cut[offsets] = True
         starts = np.flatnonzero(inside & (~before | cut))
         ends = np.flatnonzero(before & (~inside | cut))
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[flat] * self.powers[:n], out=sums[1:])
-        hashes = (sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64)
-        return mixed(hashes), np.searchsorted(starts, offsets)
+        return self.spans(flat, starts, ends), np.searchsorted(starts, offsets)
 
     def shingles(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all shingles, repeats included, and where each text's shingles begin."""
@@ -78,10 +88,11 @@ class Hasher:
         return mixed(out), at
 
 
-def text_slices(flat: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, text after the last, bytes, offsets) of ranges of some SLICE_BYTES; a longer text is a range of its own."""
+def text_slices(flat: np.ndarray, offsets: np.ndarray, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, text after the last, bytes, offsets) of ranges of `size` (SLICE_BYTES) at most; a longer text is a range of its own."""
+    size = size or SLICE_BYTES
     low, n = 0, len(offsets) - 1
     while low < n:
-        high = max(int(np.searchsorted(offsets, offsets[low] + SLICE_BYTES, "right")) - 1, low + 1)
+        high = max(int(np.searchsorted(offsets, offsets[low] + size, "right")) - 1, low + 1)
         yield low, high, flat[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
         low = high

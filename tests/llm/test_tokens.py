@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,7 +15,7 @@ from ferrowick.llm import packing, q_packing, q_shards, shards, tokens
 from . import cases
 
 TEXTS = cases.EDGE_TEXTS + cases.random_texts() + ["<|endoftext|><|startoftext|>", " \n \t x", "a\x1cb\x1f \n", "ΑΣ ας É E\u0301 \u0301x 你好", "a  \n b\u00a0 \n\u2003c", "\x85 a"]
-ALPHABET = st.sampled_from(list(" \n\t\r\x0b\x1c\u00a0\u0301aAéß'sd12!#🙂") + ["don't", "\u200b", "ing"])
+ALPHABET = st.sampled_from(list(" \n\t\r\x0b\x1c\u00a0\u0301aAéß'sd12!#🙂") + ["don't", "a.'s ", "b,.", "\u200b", "ing"])
 
 
 def whole(name):
@@ -24,15 +25,18 @@ def whole(name):
 
 
 @pytest.mark.parametrize(("name", "keeps"), [(q_packing.VOCABULARY, True), (q_shards.VOCABULARY, False)])
-def test_chunks_equal_whole_texts(name, keeps):
+def test_chunks_equal_whole_texts(name, keeps, monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 300)
+    monkeypatch.setattr(tokens, "CHUNKS_KEPT", 500)
     own, reference = tokens.Encoder(public_tokenizers.path(name), keeps), whole(name)
     texts = [t or "" for t in TEXTS]
-    assert own.encode(texts) == [reference(t) for t in texts]
+    assert own.encode(pa.array(texts)) == [reference(t) for t in texts]
+    assert own.encode(pa.array([None, "a", None], pa.string()).slice(1)) == [reference("a"), b""]
 
-    @settings(max_examples=300, deadline=None)
+    @settings(max_examples=1500, deadline=None)
     @given(st.lists(ALPHABET, max_size=20).map("".join))
     def check(text):
-        assert own.encode([text]) == [reference(text)]
+        assert own.encode(pa.array([text, "x", text])) == [reference(text), reference("x"), reference(text)]
 
     check()
 
