@@ -49,8 +49,8 @@ LEAST = (75, 100)
 #: Groups whose mass orders the root's entries: the upper bits of a hash.
 MASS_BITS = 16
 MASS_GROUPS = 1 << MASS_BITS
-#: Coordinates of the leaves' points.
-COARSE = 64
+#: Coordinates of the leaves' points, and in how many groups of coordinates they are compared first.
+COARSE, FOLDED = 256, 64
 PAGE = 256
 #: Size of the filter that finds the documents to verify: 2 MB.
 FILTER_BITS, FILTER_HASHES = 1 << 24, 4
@@ -255,12 +255,14 @@ def leaf_pairs(leaves: DataFrame, pairs: DataFrame) -> DataFrame:
         for block in whole_groups(batches, keys):
             page, n, c, doc = (block[x].to_numpy() for x in ("page", "n", "c", "doc_id"))
             points = np.frombuffer(b"".join(block["point"].to_pylist()), "<u4").reshape(-1, COARSE).astype(np.int64)
+            folded = points.reshape(len(points), FOLDED, -1).sum(axis=2)
             p, q = block["p"][0].as_py(), block["q"][0].as_py()
             right = np.flatnonzero(page == q)
             for i in np.flatnonzero(page == p).tolist():
                 j = right[right > i] if p == q else right
                 j = j[c[j] != c[i]]
                 j = j[may_reach(n[i], n[j], np.minimum(n[i], n[j]))]
+                j = j[may_reach(n[i], n[j], np.minimum(folded[i], folded[j]).sum(axis=1))]
                 j = j[may_reach(n[i], n[j], np.minimum(points[i], points[j]).sum(axis=1))]
                 if len(j):
                     found.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])]))
@@ -302,7 +304,10 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     members = met.select("entry", F.col("node").alias("doc_id")).unionByName(met.select("entry", F.col("hub").alias("doc_id")).distinct())
     members = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("entry", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    open_ = members.groupBy("entry").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("m > 2 and c0 < c1")
+    same = [F.bit_xor(F.xxhash64(F.lit(k), "doc_id")).alias(f"x{k}") for k in range(2)]
+    open_ = members.groupBy("entry").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m"), *same).where("m > 2 and c0 < c1")
+    # A passage gives many entries with the same points; one of them stands for all.
+    open_ = open_.groupBy("m", "x0", "x1").agg(F.min("entry").alias("entry"))
     under = members.join(open_.select("entry"), "entry", "left_semi").join(points, "doc_id")
     place = F.row_number().over(Window.partitionBy("entry").orderBy("n", "doc_id"))
     leaves = stored(under.withColumn("page", F.floor((place - 1) / PAGE).cast("int")), "leaves")
