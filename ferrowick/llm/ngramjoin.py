@@ -51,6 +51,7 @@ MASS_BITS = 16
 MASS_GROUPS = 1 << MASS_BITS
 #: Coordinates of the leaves' points, and in how many groups of coordinates they are compared first.
 COARSE, FOLDED = 256, 64
+FULL = 255
 PAGE = 256
 #: Size of the filter that finds the documents to verify: 2 MB.
 FILTER_BITS, FILTER_HASHES = 1 << 24, 4
@@ -91,7 +92,18 @@ def ordered_sets(texts: pa.Array, hasher: Hasher, ranks: np.ndarray) -> Iterator
 
 
 def coarse_point(own: np.ndarray) -> bytes:
-    return np.bincount((own % np.uint64(COARSE)).astype(np.int64), minlength=COARSE).astype("<u4").tobytes()
+    """Counts in one byte each; a point with a count that doesn't fit is FULL everywhere and bounds nothing."""
+    counts = np.bincount((own % np.uint64(COARSE)).astype(np.int64), minlength=COARSE)
+    return (counts if counts.max() < FULL else np.full(COARSE, FULL)).astype(np.uint8).tobytes()
+
+
+def points_of(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COARSE)
+
+
+def overlap_bound(x: np.ndarray, y: np.ndarray, most) -> np.ndarray:
+    """The sum of minima; `most` where a point bounds nothing."""
+    return np.where((x[..., 0] == FULL) | (y[..., 0] == FULL), most, np.minimum(x, y).sum(axis=-1, dtype=np.int64))
 
 
 def sketches(docs: DataFrame, ranks, key: str, text: str) -> DataFrame:
@@ -152,8 +164,8 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
     def prepare():
         def run(na: pa.Array, nb: pa.Array, pa_: pa.Array, pb: pa.Array) -> list[pa.Array]:
-            x, y = (np.frombuffer(b"".join(p.to_pylist()), "<u4").reshape(-1, COARSE) for p in (pa_, pb))
-            return [pa.array(may_reach(na.to_numpy(), nb.to_numpy(), np.minimum(x, y).sum(axis=1, dtype=np.int64)))]
+            na, nb = na.to_numpy(), nb.to_numpy()
+            return [pa.array(may_reach(na, nb, overlap_bound(points_of(pa_), points_of(pb), np.minimum(na, nb))))]
 
         return run
 
@@ -210,7 +222,7 @@ def rectangles(leaves: DataFrame) -> DataFrame:
         out: list[tuple] = []
         for page in whole_groups(batches, ["entry", "page"]):
             n, c = page["n"].to_numpy(), page["c"].to_numpy()
-            top = np.frombuffer(b"".join(page["point"].to_pylist()), "<u4").reshape(-1, COARSE).max(axis=0)
+            top = points_of(page["point"]).max(axis=0)
             out.append((page["entry"][0].as_py(), page["page"][0].as_py(), n.min(), n.max(), c.min(), c.max(), top.tobytes()))
             if len(out) >= 10_000:
                 yield batch_of(out)
@@ -236,13 +248,13 @@ def page_pairs(pages: DataFrame) -> DataFrame:
     both = side("p").join(side("q"), "entry").where((F.col("p") <= F.col("q")) & near & apart)
 
     def prepare():
-        def run(na: pa.Array, nb: pa.Array, tp: pa.Array, tq: pa.Array) -> list[pa.Array]:
-            x, y = (np.frombuffer(b"".join(t.to_pylist()), "<u4").reshape(-1, COARSE) for t in (tp, tq))
-            return [pa.array(may_reach(na.to_numpy(), nb.to_numpy(), np.minimum(x, y).sum(axis=1, dtype=np.int64)))]
+        def run(na: pa.Array, nb: pa.Array, ma: pa.Array, mb: pa.Array, tp: pa.Array, tq: pa.Array) -> list[pa.Array]:
+            bound = overlap_bound(points_of(tp), points_of(tq), np.minimum(ma.to_numpy(), mb.to_numpy()))
+            return [pa.array(may_reach(na.to_numpy(), nb.to_numpy(), bound))]
 
         return run
 
-    return with_arrays(both, "may boolean", ["n0p", "n0q", "topp", "topq"], prepare).where("may").select("entry", "p", "q")
+    return with_arrays(both, "may boolean", ["n0p", "n0q", "n1p", "n1q", "topp", "topq"], prepare).where("may").select("entry", "p", "q")
 
 
 def leaf_pairs(leaves: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -254,16 +266,17 @@ def leaf_pairs(leaves: DataFrame, pairs: DataFrame) -> DataFrame:
         waiting = 0
         for block in whole_groups(batches, keys):
             page, n, c, doc = (block[x].to_numpy() for x in ("page", "n", "c", "doc_id"))
-            points = np.frombuffer(b"".join(block["point"].to_pylist()), "<u4").reshape(-1, COARSE).astype(np.int64)
-            folded = points.reshape(len(points), FOLDED, -1).sum(axis=2)
+            points = points_of(block["point"])
+            folded = points.reshape(len(points), FOLDED, -1).sum(axis=2, dtype=np.int64)
+            loose = points[:, 0] == FULL
             p, q = block["p"][0].as_py(), block["q"][0].as_py()
             right = np.flatnonzero(page == q)
             for i in np.flatnonzero(page == p).tolist():
                 j = right[right > i] if p == q else right
                 j = j[c[j] != c[i]]
                 j = j[may_reach(n[i], n[j], np.minimum(n[i], n[j]))]
-                j = j[may_reach(n[i], n[j], np.minimum(folded[i], folded[j]).sum(axis=1))]
-                j = j[may_reach(n[i], n[j], np.minimum(points[i], points[j]).sum(axis=1))]
+                j = j[loose[i] | loose[j] | may_reach(n[i], n[j], np.minimum(folded[i], folded[j]).sum(axis=1))]
+                j = j[may_reach(n[i], n[j], overlap_bound(points[i], points[j], np.minimum(n[i], n[j])))]
                 if len(j):
                     found.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])]))
                     waiting += len(j)

@@ -78,10 +78,14 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 
 
 class BlobLedger:
-    """Which (blob, rule version) pairs were scanned, and what was found. Each scan adds one Parquet part."""
+    """Which (blob, rule version) pairs were scanned, and what was found. Each scan adds one Parquet part; a folder may be opened again."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self.parts = spark, folder, 0
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        while system.exists(path(f"{folder}/part={self.parts}/_SUCCESS")):  # a part that wasn't written to its end is written again
+            self.parts += 1
 
     def seen(self, version: str) -> DataFrame | None:
         if not self.parts:

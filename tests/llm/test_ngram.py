@@ -54,9 +54,10 @@ def result(spark, tmp_path, texts):
     return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows}
 
 
-@pytest.mark.parametrize("page", [256, 3])
-def test_matches_brute_force(spark, tmp_path, page, monkeypatch):
+@pytest.mark.parametrize(("page", "coarse"), [(256, 256), (3, 64)])
+def test_matches_brute_force(spark, tmp_path, page, coarse, monkeypatch):
     monkeypatch.setattr(ngramjoin, "PAGE", page)
+    monkeypatch.setattr(ngramjoin, "COARSE", coarse)
     texts = variants(random.Random(page)) + cases.EDGE_TEXTS + cases.random_texts(20) + ["ONE two three four FIVE", "one  two\nthree four five"]
     assert result(spark, tmp_path, texts) == brute(dict(enumerate(texts)))
 
@@ -80,6 +81,15 @@ def test_repeated_null_ids_and_empty_table(spark, tmp_path):
     assert q_ngram.op1_ngram_join(spark, cases.folder(spark, tmp_path / "b", documents=cases.documents(spark, []))).count() == 0
 
 
+def test_points_bound_overlaps():
+    rng = np.random.default_rng(1)
+    for size in (10, 3000, 90_000):
+        a, b = (np.unique(rng.integers(0, size * 2, size)).astype(np.uint64) for _ in range(2))
+        x, y = (np.frombuffer(ngramjoin.coarse_point(s), np.uint8) for s in (a, b))
+        assert ngramjoin.overlap_bound(x, y, min(len(a), len(b))) >= len(np.intersect1d(a, b))
+    assert x[0] == ngramjoin.FULL
+
+
 def test_shingles_of_slices(monkeypatch):
     monkeypatch.setattr(shingles, "SLICE_BYTES", 16)
     texts = [t or "" for t in cases.EDGE_TEXTS + cases.random_texts(10)]

@@ -48,6 +48,7 @@ def test_ledger_scans_new_pairs_only(spark, tmp_path):
     assert all(len(r["spans"]) == 1 for r in ledger.scan(second, keys=keys).collect())
     scanned = [spark.read.parquet(f"{ledger.folder}/part={k}").count() for k in range(2)]
     assert scanned == [2, 1]
+    ledger = secrets.BlobLedger(spark, ledger.folder)
     ledger.scan(second, secrets.BASE_RULES, keys=keys)
     assert spark.read.parquet(f"{ledger.folder}/part=2").count() == 2  # the same blobs under other rules
 
