@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import SLICE_ROWS, text_bytes, with_arrays
-from .common import delete, new_path, stored
+from .common import delete, new_path, shuffles_freed, stored
 from .components import connected_components
 from .shingles import Hasher, text_slices
 from .vectordup import whole_groups
@@ -309,7 +309,12 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def check(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        return stored(verified(pairs, stored(whole_sets(docs, stored(ends, "ends"), ranks, key, text), "sets")), "links")
+        held = new_path(spark, "sets")
+        with shuffles_freed(spark):
+            whole_sets(docs, stored(ends, "ends"), ranks, key, text).write.parquet(held)
+        links = stored(verified(pairs, spark.read.parquet(held)), "links")
+        delete(spark, held)
+        return links
 
     tried = stored(met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
     links = check(stored(bounded(tried, points), "bounded-pairs"))
