@@ -14,7 +14,8 @@ The tree is laid out as tables, so that its search is joins:
   maximum of each of COARSE coordinates and the range of sizes. Pages are paired where rectangles may reach the overlap,
   then points within paired pages.
 
-Surviving pairs are verified on the whole sets. Work follows from what is known already:
+Surviving pairs are bounded again by points of FINE coordinates, which tell long documents apart, and then verified on the
+whole sets. Work follows from what is known already:
 
 1. Equal sets are one class; one representative of each goes on.
 2. Under each entry all points are compared with the smallest document id there: as many pairs as points.
@@ -51,6 +52,9 @@ MASS_BITS = 16
 MASS_GROUPS = 1 << MASS_BITS
 #: Coordinates of the leaves' points, and in how many groups of coordinates they are compared first.
 COARSE, FOLDED = 256, 64
+#: Coordinates of the points that pairs are bounded by before whole sets are dealt out. With COARSE ones, unrelated sets of over
+#: some 4,000 shingles reach the overlap.
+FINE = 2048
 FULL = 255
 PAGE = 256
 #: Size of the filter that finds the documents to verify: 2 MB.
@@ -91,14 +95,15 @@ def ordered_sets(texts: pa.Array, hasher: Hasher, ranks: np.ndarray) -> Iterator
             yield np.unique(hashes[a:b])
 
 
-def coarse_point(own: np.ndarray) -> bytes:
+def point_of(own: np.ndarray, coordinates: int) -> bytes:
     """Counts in one byte each; a point with a count that doesn't fit is FULL everywhere and bounds nothing."""
-    counts = np.bincount((own % np.uint64(COARSE)).astype(np.int64), minlength=COARSE)
-    return (counts if counts.max() < FULL else np.full(COARSE, FULL)).astype(np.uint8).tobytes()
+    counts = np.bincount((own % np.uint64(coordinates)).astype(np.int64), minlength=coordinates)
+    return (counts if counts.max() < FULL else np.full(coordinates, FULL)).astype(np.uint8).tobytes()
 
 
 def points_of(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COARSE)
+    """One row for each point; all of `column` have as many coordinates."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1 if len(column) else COARSE)
 
 
 def overlap_bound(x: np.ndarray, y: np.ndarray, most) -> np.ndarray:
@@ -120,7 +125,7 @@ def sketches(docs: DataFrame, ranks, key: str, text: str) -> DataFrame:
                 n.append(len(own))
                 s1.append(digest[0])
                 s2.append(digest[1])
-                points.append(coarse_point(own))
+                points.append(point_of(own, COARSE))
                 entries.append(own[: len(own) - -(-len(own) * LEAST[0] // LEAST[1]) + 1].view(np.int64) if len(own) else np.zeros(0, np.int64))
             return [pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(points, pa.binary()), pa.array(entries, pa.list_(pa.int64()))]
 
@@ -183,7 +188,7 @@ def member_filter(nodes: DataFrame) -> np.ndarray:
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, ranks, key: str, text: str) -> DataFrame:
-    """doc_id and its whole set for the given nodes.
+    """doc_id, n, a point of FINE coordinates and the whole set of the given nodes.
 
     Texts aren't dealt out: a filter of bounded size finds the documents to hash, and a join drops those it let
     through by chance. Where there are so many nodes that it lets all through, all are hashed.
@@ -198,12 +203,13 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, ranks, key: str, text: str) ->
             inside = ((words[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1)).all(axis=0)
             some = batch.filter(pa.array(inside))
             if some.num_rows:
-                sets = [own.view(np.int64) for own in ordered_sets(some.column(1), hasher, held.value)]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+                sets = list(ordered_sets(some.column(1), hasher, held.value))
+                columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array([point_of(x, FINE) for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([some.column(0), *columns, pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], schema.names)
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("body"))
     rows = rows.select("doc_id", "body", *[F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(FILTER_BITS)).alias(f"b{k}") for k in range(FILTER_HASHES)])
-    schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("shingles array<long>").fields])
+    schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("n long, point binary, shingles array<long>").fields])
     return rows.mapInArrow(run, schema).join(nodes, "doc_id", "left_semi")
 
 
@@ -312,7 +318,8 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         held = new_path(spark, "sets")
         with shuffles_freed(spark):
             whole_sets(docs, stored(ends, "ends"), ranks, key, text).write.parquet(held)
-        links = stored(verified(pairs, spark.read.parquet(held)), "links")
+        sets = spark.read.parquet(held)
+        links = stored(verified(stored(bounded(pairs, sets), "close-pairs"), sets), "links")
         delete(spark, held)
         return links
 

@@ -81,11 +81,12 @@ def test_repeated_null_ids_and_empty_table(spark, tmp_path):
     assert q_ngram.op1_ngram_join(spark, cases.folder(spark, tmp_path / "b", documents=cases.documents(spark, []))).count() == 0
 
 
-def test_points_bound_overlaps():
+@pytest.mark.parametrize("coordinates", [ngramjoin.COARSE, ngramjoin.FINE])
+def test_points_bound_overlaps(coordinates):
     rng = np.random.default_rng(1)
-    for size in (10, 3000, 90_000):
+    for size in (10, 3000, 350 * coordinates):
         a, b = (np.unique(rng.integers(0, size * 2, size)).astype(np.uint64) for _ in range(2))
-        x, y = (np.frombuffer(ngramjoin.coarse_point(s), np.uint8) for s in (a, b))
+        x, y = (np.frombuffer(ngramjoin.point_of(s, coordinates), np.uint8) for s in (a, b))
         assert ngramjoin.overlap_bound(x, y, min(len(a), len(b))) >= len(np.intersect1d(a, b))
     assert x[0] == ngramjoin.FULL
 
