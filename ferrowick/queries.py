@@ -360,7 +360,8 @@ def gov_visibility(spark, sf):
 
 @query("""SELECT o_orderkey, c_name FROM orders LEFT JOIN (SELECT c_custkey, regexp_replace(c_name, '[0-9]', '#', 'g') AS c_name FROM customer WHERE c_mktsegment = 'BUILDING') ON o_custkey = c_custkey WHERE o_orderstatus = 'F'""")
 def gov_outer_join(spark, sf):
-    return engine(spark, sf, "analyst").sql("SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+    # Analyst's rules without its row cap, which is row_cap's subject.
+    return engine(spark, sf, "sales").sql("SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 
 
 # --- Bitemporal logs, deltas, landing ---
