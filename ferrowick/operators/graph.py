@@ -1,7 +1,7 @@
 """Graph patterns over registered relationships, and algorithms over edge tables.
 
 Nodes are rows of tables and edges are relationships; a pattern is a chain of joins. Traversals are loops of joins with a
-fixed number of rounds; their frontiers are tables, never driver lists. Long loops cut lineage with checkpoints.
+fixed number of rounds, or until nothing is left (cores); their frontiers are tables, never driver lists. Long loops cut lineage with checkpoints.
 """
 
 from __future__ import annotations
@@ -187,21 +187,27 @@ def clustering(edges: DataFrame) -> DataFrame:
     return degree.join(found, "node", "left").select("node", t.alias("triangles"), F.when(F.col("d") > 1, 2 * t / (F.col("d") * (F.col("d") - 1))).otherwise(0.0).alias("clustering"))
 
 
-def core_numbers(edges: DataFrame, max_core: int) -> DataFrame:
-    """node, core: the largest k up to max_core whose k-core holds the node."""
+def core_numbers(edges: DataFrame, max_core: int | None = None) -> DataFrame:
+    """node, core: the largest k whose k-core holds the node, or max_core where that is given and less.
+
+    Edges of the nodes of least degree are taken away until none are left; a node's core is the highest least degree so far.
+    """
     both = both_ways(edges.where("src <> dst")).checkpoint()
-    out = nodes_of(both).withColumn("core", F.lit(0))
-    for k in range(1, max_core + 1):
-        while True:
-            weak = both.groupBy("src").agg(F.count("*").alias("d")).where(F.col("d") < k).select("src").checkpoint()
-            if weak.isEmpty():
-                break
-            gone = weak.withColumnRenamed("src", "dst")
-            both = both.join(weak, "src", "left_anti").join(gone, "dst", "left_anti").checkpoint()
-        if both.isEmpty():
-            break
-        out = out.join(both.select(F.col("src").alias("node")).distinct().withColumn("in", F.lit(k)), "node", "left").select("node", F.coalesce("in", "core").alias("core"))
-    return out
+    core, out = 0, nodes_of(both).withColumn("core", F.lit(0)).limit(0)
+    while True:
+        degree = both.groupBy("src").agg(F.count("*").alias("d")).checkpoint()
+        least = degree.agg(F.min("d").alias("d")).first()["d"]
+        if least is None:
+            return out
+        core = max(core, least)
+        if max_core is not None and core >= max_core:
+            return out.unionByName(degree.select(F.col("src").alias("node"), F.lit(max_core).alias("core")))
+        weak = degree.where(F.col("d") <= core).select("src")
+        left = both.join(weak, "src", "left_anti").join(weak.withColumnRenamed("src", "dst"), "dst", "left_anti").checkpoint()
+        # Nodes that lost their last edge go with the weak ones.
+        gone = degree.join(left.select("src").distinct(), "src", "left_anti")
+        out = out.unionByName(gone.select(F.col("src").alias("node"), F.lit(core).alias("core"))).checkpoint()
+        both = left
 
 
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:

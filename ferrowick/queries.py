@@ -698,7 +698,7 @@ def graph_eigenvector(spark, sf):
 @query()
 def graph_core(spark, sf):
     _checkpointed(spark)
-    return graph.core_numbers(_nations(spark, sf), 10)
+    return graph.core_numbers(_nations(spark, sf))
 
 
 @query()

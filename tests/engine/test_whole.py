@@ -1,7 +1,10 @@
 """Queries give whole results on tables that pass the bounds of a role or a loop."""
 
+import random
+
 from ferrowick import queries
 from ferrowick.demo import MODEL
+from ferrowick.operators import graph
 
 from .test_queries import db, norm  # noqa: F401
 
@@ -17,3 +20,42 @@ def test_outer_join_gives_more_rows_than_the_cap(spark, tmp_path, sf_dir, db):
     want = sorted(([norm(x) for x in r] for r in db.execute(sql).fetchall()), key=repr)
     assert len(got) == cap + 500
     assert got == want
+
+
+def brute_cores(links):
+    """By node: the largest k at which peeling nodes of fewer than k neighbours leaves it."""
+    out, near, k = {}, {}, 0
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    while near:
+        weak = [n for n in near if len(near[n]) <= k]
+        for n in weak:
+            out[n] = k
+            for m in near.pop(n):
+                near.get(m, set()).discard(n)
+        k += not weak
+    return out
+
+
+def test_cores_above_ten(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "checkpoints"))
+    rng = random.Random(4)
+    links = {(a, b) for a in range(16) for b in range(a)}  # a core of 15
+    links |= {(100 + a, 100 + b) for a in range(30) for b in range(a) if rng.random() < 0.6}
+    links |= {(rng.randrange(16), 200 + k) for k in range(20)} | {(220 + k, 221 + k) for k in range(5)} | {(300, k) for k in range(301, 306)}
+    want = brute_cores(links)
+    edges = spark.createDataFrame(sorted(links), "src int, dst int")
+    for cap in (None, 12):
+        got = graph.core_numbers(edges, *[cap] * (cap is not None)).collect()
+        assert len(got) == len(want)
+        assert {r["node"]: r["core"] for r in got} == {n: min(c, cap or c) for n, c in want.items()}
+    assert max(want.values()) == 15 and want[300] == 1
+    assert graph.core_numbers(edges.limit(0)).count() == 0
+
+
+def test_graph_core_has_no_bound(spark, tmp_path, monkeypatch):
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "checkpoints"))
+    links = [(a, b) for a in range(13) for b in range(a)]
+    monkeypatch.setattr(queries, "_nations", lambda *_: spark.createDataFrame(links, "src int, dst int"))
+    assert {r["node"]: r["core"] for r in queries.graph_core(spark, str(tmp_path)).collect()} == brute_cores(links)
