@@ -136,10 +136,10 @@ def sketches(docs: DataFrame, ranks, key: str, text: str) -> DataFrame:
 
 
 def stars(points: DataFrame) -> DataFrame:
-    """(entry, hub, node): every point under a shared entry with the smallest one there."""
+    """(entry, hub, node): every point under a shared entry with the smallest one there; repeated rows give one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entry, hub = None, None
+        entry, hub, node = None, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -149,8 +149,11 @@ def stars(points: DataFrame) -> DataFrame:
             new[0] = entry is None or entries[0] != entry
             first = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
             hubs = np.where(first >= 0, nodes[first], nodes[0] if hub is None else hub)
-            entry, hub = entries[-1], hubs[-1]
-            kept = nodes != hubs
+            again = ~new
+            again[1:] &= nodes[1:] == nodes[:-1]
+            again[0] &= nodes[0] == node
+            entry, hub, node = entries[-1], hubs[-1], nodes[-1]
+            kept = (nodes != hubs) & ~again
             yield pa.RecordBatch.from_arrays([pa.array(entries[kept]), pa.array(hubs[kept]), pa.array(nodes[kept])], ["entry", "hub", "node"])
 
     rows = points.select(F.explode("entries").alias("entry"), "doc_id")
@@ -331,7 +334,7 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     members = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("entry", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     same = [F.bit_xor(F.xxhash64(F.lit(k), "doc_id")).alias(f"x{k}") for k in range(2)]
     open_ = members.groupBy("entry").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m"), *same).where("m > 2 and c0 < c1")
-    # A passage gives many entries with the same points; one of them stands for all.
+    # A passage gives many entries with the same points; one of them stands for all. Each point is there once, so none cancels out.
     open_ = open_.groupBy("m", "x0", "x1").agg(F.min("entry").alias("entry"))
     under = members.join(open_.select("entry"), "entry", "left_semi").join(points, "doc_id")
     place = F.row_number().over(Window.partitionBy("entry").orderBy("n", "doc_id"))

@@ -81,6 +81,28 @@ def test_repeated_null_ids_and_empty_table(spark, tmp_path):
     assert q_ngram.op1_ngram_join(spark, cases.folder(spark, tmp_path / "b", documents=cases.documents(spark, []))).count() == 0
 
 
+def doubled(spark, tmp_path, texts):
+    docs = cases.documents(spark, texts)
+    rows = q_ngram.op1_ngram_join(spark, cases.folder(spark, tmp_path, documents=docs.unionByName(docs))).collect()
+    assert len(rows) == 2 * len(texts)
+    found = {tuple(r) for r in rows}
+    assert len(found) == len(texts)
+    return {d: (n, c) for d, n, c in found}
+
+
+def test_every_row_doubled(spark, tmp_path):
+    def words(of, n):
+        return [f"{of}{k}" for k in range(n)]
+
+    # Edits of parts of one template: x and y link, so do z and w, and both pairs meet only under the template's entries.
+    template = [words("a", 100) + words("b", 100), *(words(part, 100) + words(tail, 12) for part, tail in ("ax", "ay", "bz", "bw"))]
+    texts = [" ".join(x) for x in template]
+    assert doubled(spark, tmp_path / "template", texts) == brute(dict(enumerate(texts)))
+    chain = [" ".join(words("v", 400)[20 * k : 20 * k + 200]) for k in range(10)]
+    texts = chain + variants(random.Random(5))
+    assert doubled(spark, tmp_path / "more", texts) == brute(dict(enumerate(texts)))
+
+
 @pytest.mark.parametrize("coordinates", [ngramjoin.COARSE, ngramjoin.FINE])
 def test_points_bound_overlaps(coordinates):
     rng = np.random.default_rng(1)
