@@ -1,7 +1,7 @@
 """Graph patterns over registered relationships, and algorithms over edge tables.
 
 Nodes are rows of tables and edges are relationships; a pattern is a chain of joins. Traversals are loops of joins with a
-fixed number of rounds, or until nothing is left (cores); their frontiers are tables, never driver lists. Long loops cut lineage with checkpoints.
+fixed number of rounds, or until nothing is left (cores, betweenness); their frontiers are tables, never driver lists. Long loops cut lineage with checkpoints.
 """
 
 from __future__ import annotations
@@ -147,19 +147,23 @@ def closeness(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
     return reached.groupBy(F.col("start").alias("node")).agg((F.count("*") / F.sum("hops")).alias("closeness"))
 
 
-def betweenness(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
-    """node, betweenness: dependencies of shortest paths from the starts, up to max_hops, in the undirected graph.
+def betweenness(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """node, betweenness: dependencies of shortest paths from the starts, up to max_hops if given, in the undirected graph.
 
     Counts of shortest paths grow level by level from each start; dependencies are gathered back in the reverse order.
     """
     both = both_ways(edges).checkpoint()
     levels = [starts.select(F.col("node").alias("start"), "node", F.lit(1.0).alias("paths"))]
     seen = levels[0].select("start", "node")
-    for _ in range(max_hops):
+    while max_hops is None or len(levels) <= max_hops:
         step = levels[-1].join(both, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), "paths")
         new = step.join(seen, ["start", "node"], "left_anti").groupBy("start", "node").agg(F.sum("paths").alias("paths")).checkpoint()
+        if new.isEmpty():
+            break
         levels.append(new)
         seen = seen.unionByName(new.select("start", "node"))
+    if len(levels) == 1:
+        return nodes_of(both).withColumn("betweenness", F.lit(0.0))
     flow, out = levels[-1].select("start", "node", "paths", F.lit(0.0).alias("d")), None
     for above in reversed(levels[:-1]):
         back = flow.join(both, F.col("node") == F.col("dst")).select("start", F.col("src").alias("up"), ((1 + F.col("d")) / F.col("paths")).alias("share"))

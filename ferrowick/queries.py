@@ -565,6 +565,11 @@ def _supplies(spark, sf) -> DataFrame:
     return engine(spark, sf).table("lineitem").selectExpr("l_partkey AS src", "l_suppkey AS dst").distinct()
 
 
+def _supplied(spark, sf) -> DataFrame:
+    """The whole graph of parts and their suppliers: a part's node is twice its key, a supplier's twice its key and one."""
+    return _supplies(spark, sf).selectExpr("2 * src AS src", "2 * dst + 1 AS dst")
+
+
 def _nations(spark, sf) -> DataFrame:
     """A small graph: nations linked by orders of customers from suppliers."""
     e = engine(spark, sf)
@@ -664,7 +669,7 @@ def _checkpointed(spark: SparkSession) -> None:
 @query()
 def graph_pagerank(spark, sf):
     _checkpointed(spark)
-    return graph.pagerank(_nations(spark, sf)).withColumn("rank", F.round("rank", 9))
+    return graph.pagerank(_supplied(spark, sf)).withColumn("rank", F.round("rank", 9))
 
 
 @query(f"""WITH {_BOTH}, d AS (SELECT src AS node, count(*) AS d FROM b GROUP BY src),
@@ -686,25 +691,25 @@ def graph_closeness(spark, sf):
 def graph_betweenness(spark, sf):
     _checkpointed(spark)
     edges = _nations(spark, sf)
-    return graph.betweenness(edges, graph.nodes_of(edges), 4).withColumn("betweenness", F.round("betweenness", 6))
+    return graph.betweenness(edges, graph.nodes_of(edges)).withColumn("betweenness", F.round("betweenness", 6))
 
 
 @query()
 def graph_eigenvector(spark, sf):
     _checkpointed(spark)
-    return graph.eigenvector(_nations(spark, sf)).withColumn("centrality", F.round("centrality", 6))
+    return graph.eigenvector(_supplied(spark, sf)).withColumn("centrality", F.round("centrality", 6))
 
 
 @query()
 def graph_core(spark, sf):
     _checkpointed(spark)
-    return graph.core_numbers(_nations(spark, sf))
+    return graph.core_numbers(_supplied(spark, sf))
 
 
 @query()
 def graph_communities(spark, sf):
     _checkpointed(spark)
-    return graph.communities(_nations(spark, sf))
+    return graph.communities(_supplied(spark, sf))
 
 
 # --- Data quality, vectors, lineage, responses, table functions ---

@@ -57,5 +57,44 @@ def test_cores_above_ten(spark, tmp_path):
 def test_graph_core_has_no_bound(spark, tmp_path, monkeypatch):
     spark.sparkContext.setCheckpointDir(str(tmp_path / "checkpoints"))
     links = [(a, b) for a in range(13) for b in range(a)]
-    monkeypatch.setattr(queries, "_nations", lambda *_: spark.createDataFrame(links, "src int, dst int"))
+    monkeypatch.setattr(queries, "_supplied", lambda *_: spark.createDataFrame(links, "src int, dst int"))
     assert {r["node"]: r["core"] for r in queries.graph_core(spark, str(tmp_path)).collect()} == brute_cores(links)
+
+
+def test_measures_of_the_whole_part_supplier_graph(spark, tmp_path, sf_dir, db):  # noqa: F811
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "checkpoints"))
+    links = db.execute("SELECT DISTINCT 2 * l_partkey, 2 * l_suppkey + 1 FROM lineitem").fetchall()
+    nodes = {n for link in links for n in link}
+    near = {n: [] for n in nodes}
+    for a, b in links:
+        near[a].append(b)
+        near[b].append(a)
+    got = {name: {r["node"]: r[1] for r in getattr(queries, name)(spark, sf_dir).collect()} for name in ("graph_pagerank", "graph_eigenvector", "graph_core", "graph_communities")}
+    assert all(set(x) == nodes for x in got.values())
+    assert got["graph_core"] == brute_cores(links)
+    out, rank, value, label = {a: [b for x, b in links if x == a] for a, _ in links}, dict.fromkeys(nodes, 1 / len(nodes)), dict.fromkeys(nodes, 1.0), {n: n for n in nodes}
+    for _ in range(20):
+        given = dict.fromkeys(nodes, 0.0)
+        for a, to in out.items():
+            for b in to:
+                given[b] += rank[a] / len(to)
+        lost = 1 - sum(given.values())
+        rank = {n: 0.15 / len(nodes) + 0.85 * (given[n] + lost / len(nodes)) for n in nodes}
+    for _ in range(30):
+        value = {n: value[n] + sum(value[m] for m in near[n]) for n in nodes}
+        length = sum(v * v for v in value.values()) ** 0.5
+        value = {n: v / length for n, v in value.items()}
+    for _ in range(10):
+        votes = {n: {label[n]: 1} for n in nodes}
+        for n in nodes:
+            for m in near[n]:
+                votes[n][label[m]] = votes[n].get(label[m], 0) + 2
+        label = {n: max(v, key=lambda c: (v[c], -c)) for n, v in votes.items()}
+    assert got["graph_communities"] == label
+    assert all(abs(got["graph_pagerank"][n] - rank[n]) < 1e-8 and abs(got["graph_eigenvector"][n] - value[n]) < 2e-6 for n in nodes)
+
+
+def test_betweenness_of_a_long_path(spark, tmp_path, monkeypatch):
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "checkpoints"))
+    monkeypatch.setattr(queries, "_nations", lambda *_: spark.createDataFrame([(k, k + 1) for k in range(7)], "src int, dst int"))
+    assert {r["node"]: r["betweenness"] for r in queries.graph_betweenness(spark, str(tmp_path)).collect()} == {k: k * (7 - k) for k in range(8)}
