@@ -56,6 +56,37 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """Written tables of one computation. They go when it ends, or as soon as they are freed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for _, path in self.paths:
+            delete(self.spark, path)
+        self.paths = []
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        """Cut lineage, as `stored` does."""
+        path = new_path(self.spark, label)
+        with shuffles_freed(self.spark):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((out, path))
+        return out
+
+    def free(self, *tables: DataFrame) -> None:
+        """Remove these tables now."""
+        for df, path in self.paths:
+            if any(df is t for t in tables):
+                delete(self.spark, path)
+        self.paths = [(df, path) for df, path in self.paths if not any(df is t for t in tables)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of one input table."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -4,23 +4,28 @@ A document's set is its distinct 5-word shingles. Shingles are hashed into group
 each group are a point, and the overlap of two sets is at most the sum of the coordinates' minima. Two sets link when
 their Jaccard similarity is at least LEAST, which needs an overlap of (sizes' sum) * LEAST / (1 + LEAST).
 
-The tree is laid out as tables, so that its search is joins:
+The tree has three levels; the upper two are tables, so that their search is joins:
 
 * Root. With MASS_GROUPS groups nearly every coordinate of a point is 0 or 1. Coordinates (shingles) are ordered by the
   mass of their group in the whole corpus, rare first. Two points that reach the overlap share a coordinate among the
   first quarter of either, so each such coordinate is an entry of the root, and points meet only under shared entries.
   Passages that very many documents share lie last in that order and are entries for hardly any.
-* Leaves. The points under an entry are sorted by size and cut into pages of PAGE points. A page's rectangle is the
-  maximum of each of COARSE coordinates and the range of sizes. Pages are paired where rectangles may reach the overlap,
-  then points within paired pages.
-
-Surviving pairs are bounded again by points of FINE coordinates, which tell long documents apart, and then verified on the
+* Bands. Under an entry, points of sizes in a ratio of BAND share a band; only neighbouring bands can link. A band of
+  over PAGE points is dealt over pages by a hash of the document.
+* Boxes. The points of a page are halved again and again at the median of the coordinate that varies most, down to LEAF
+  points. A box is the maximum of each coordinate and the least size in it. Points descend into those boxes whose
+  summed minima reach the overlap.
+
+A point has as many coordinates as half the set's size, a power of two, so that the bound tells long documents apart as well
+as short ones; points of more coordinates are folded to as many as the other has. Surviving pairs are verified on the
 whole sets. Work follows from what is known already:
 
 1. Equal sets are one class; one representative of each goes on.
 2. Under each entry all points are compared with the smallest document id there: as many pairs as points.
-3. Where the links found so far leave an entry with points of more than one component, its pages are searched for
-   pairs of points that are in different components. No other pair can change a component, so no link is lost.
+3. Where the links found so far leave an entry with points of several components, those outside its largest component
+   descend the boxes of all its points for partners in other components. No other pair can change a component, so no
+   link is lost. First each point takes its best partner in each other component only; once these links are
+   known, all pairs that are still in different components are taken. So components that many pairs join cost few.
 
 Defined results: null or blank texts and those without words have an empty set and link with nothing; texts with fewer
 than five words have their whole word sequence as one shingle; rows that share an id are one node of the graph; rows of
@@ -31,32 +36,35 @@ driver.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import SLICE_ROWS, text_bytes, with_arrays
-from .common import delete, new_path, shuffles_freed, stored
+from .common import Scratch, stored
 from .components import connected_components
 from .shingles import Hasher, text_slices
-from .vectordup import whole_groups
+from .vectordup import grouped
 
 # The similarity as a ratio of integers.
 LEAST = (75, 100)
 #: Groups whose mass orders the root's entries: the upper bits of a hash.
 MASS_BITS = 16
 MASS_GROUPS = 1 << MASS_BITS
-#: Coordinates of the leaves' points, and in how many groups of coordinates they are compared first.
-COARSE, FOLDED = 256, 64
-#: Coordinates of the points that pairs are bounded by before whole sets are dealt out. With COARSE ones, unrelated sets of over
-#: some 4,000 shingles reach the overlap.
-FINE = 2048
+#: Fewest coordinates of a point.
+COARSE = 64
 FULL = 255
-PAGE = 256
+#: Sizes of linked sets are in a ratio of 4/3 at most, so they are in one band or in neighbouring ones.
+BAND = 1.35
+PAGE = 512
+LEAF = 16
+#: Bytes compared at once.
+ROOM = 1 << 24
 #: Size of the filter that finds the documents to verify: 2 MB.
 FILTER_BITS, FILTER_HASHES = 1 << 24, 4
 
@@ -95,20 +103,51 @@ def ordered_sets(texts: pa.Array, hasher: Hasher, ranks: np.ndarray) -> Iterator
             yield np.unique(hashes[a:b])
 
 
-def point_of(own: np.ndarray, coordinates: int) -> bytes:
+def point_of(own: np.ndarray) -> bytes:
     """Counts in one byte each; a point with a count that doesn't fit is FULL everywhere and bounds nothing."""
+    coordinates = max(COARSE, 1 << (len(own) // 2).bit_length())
     counts = np.bincount((own % np.uint64(coordinates)).astype(np.int64), minlength=coordinates)
     return (counts if counts.max() < FULL else np.full(coordinates, FULL)).astype(np.uint8).tobytes()
 
 
-def points_of(column) -> np.ndarray:
-    """One row for each point; all of `column` have as many coordinates."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1 if len(column) else COARSE)
+def points_of(raw: list[bytes]) -> np.ndarray:
+    """One row for each point, all folded to the fewest coordinates among them."""
+    least = min(map(len, raw), default=COARSE)
+    out = np.empty((len(raw), least), np.uint16)
+    for k, p in enumerate(raw):
+        own = np.frombuffer(p, np.uint8)
+        out[k] = own if len(own) == least else own.reshape(-1, least).sum(axis=0, dtype=np.uint16)
+    return out
+
+
+def may_reach(na, nb, overlap):
+    """Whether an overlap of `overlap` or less lets sets of these sizes link."""
+    return overlap * (LEAST[0] + LEAST[1]) >= LEAST[0] * (na + nb)
+
 
+def may_link(x: np.ndarray, y: np.ndarray, nx, ny) -> np.ndarray:
+    """Whether points (or a point and a box) of these sizes may link: no overlap exceeds the sum of minima, nor a set's size."""
+    return may_reach(nx, ny, np.minimum(np.minimum(x, y).sum(axis=-1, dtype=np.int64), nx))
 
-def overlap_bound(x: np.ndarray, y: np.ndarray, most) -> np.ndarray:
-    """The sum of minima; `most` where a point bounds nothing."""
-    return np.where((x[..., 0] == FULL) | (y[..., 0] == FULL), most, np.minimum(x, y).sum(axis=-1, dtype=np.int64))
+
+def descend(points: np.ndarray, n: np.ndarray, queries: np.ndarray, items: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, item) positions that may link, by boxes over the items."""
+    todo = [(queries, items)]
+    while todo:
+        q, rows = todo.pop()
+        if len(rows) > LEAF:
+            box = points[rows]
+            q = q[may_link(points[q], box.max(axis=0), n[q], n[rows].min())]
+            if len(q):
+                order = rows[np.argsort(box[:, box.var(axis=0).argmax()], kind="stable")]
+                todo += [(q, order[: len(order) // 2]), (q, order[len(order) // 2 :])]
+            continue
+        step = max(ROOM // (2 * LEAF * points.shape[1]), 1)
+        for part in (q[k : k + step] for k in range(0, len(q), step)):
+            near = may_link(points[part][:, None], points[rows][None], n[part][:, None], n[rows][None])
+            near &= may_reach(n[part][:, None], n[rows][None], n[rows][None])
+            i, j = np.nonzero(near)
+            yield part[i], rows[j]
 
 
 def sketches(docs: DataFrame, ranks, key: str, text: str) -> DataFrame:
@@ -125,7 +164,7 @@ def sketches(docs: DataFrame, ranks, key: str, text: str) -> DataFrame:
                 n.append(len(own))
                 s1.append(digest[0])
                 s2.append(digest[1])
-                points.append(point_of(own, COARSE))
+                points.append(point_of(own))
                 entries.append(own[: len(own) - -(-len(own) * LEAST[0] // LEAST[1]) + 1].view(np.int64) if len(own) else np.zeros(0, np.int64))
             return [pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(points, pa.binary()), pa.array(entries, pa.list_(pa.int64()))]
 
@@ -136,44 +175,32 @@ def sketches(docs: DataFrame, ranks, key: str, text: str) -> DataFrame:
 
 
 def stars(points: DataFrame) -> DataFrame:
-    """(entry, hub, node): every point under a shared entry with the smallest one there; repeated rows give one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entry, hub, node = None, None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            entries, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            new = np.ones(len(entries), bool)
-            new[1:] = entries[1:] != entries[:-1]
-            new[0] = entry is None or entries[0] != entry
-            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
-            hubs = np.where(first >= 0, nodes[first], nodes[0] if hub is None else hub)
-            again = ~new
-            again[1:] &= nodes[1:] == nodes[:-1]
-            again[0] &= nodes[0] == node
-            entry, hub, node = entries[-1], hubs[-1], nodes[-1]
-            kept = (nodes != hubs) & ~again
-            yield pa.RecordBatch.from_arrays([pa.array(entries[kept]), pa.array(hubs[kept]), pa.array(nodes[kept])], ["entry", "hub", "node"])
-
-    rows = points.select(F.explode("entries").alias("entry"), "doc_id")
-    return rows.repartition("entry").sortWithinPartitions("entry", "doc_id").mapInArrow(run, "entry long, hub long, node long")
+    """(entry, hub, doc_id, n): every point under an entry that several share, and the smallest id there.
 
-
-def may_reach(na, nb, overlap):
-    """Whether an overlap of `overlap` or less lets sets of these sizes link."""
-    return overlap * (LEAST[0] + LEAST[1]) >= LEAST[0] * (na + nb)
+    Minima are aggregated before they are dealt out and joined back, so an entry that very many share is no one task's.
+    """
+    rows = points.select(F.explode("entries").alias("entry"), "doc_id", "n")
+    shared = rows.groupBy("entry").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last")
+    return rows.join(shared.select("entry", "hub"), "entry")
 
 
 def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The (a, b) pairs whose points may reach the overlap."""
+    """The (a, b) pairs whose points may reach the overlap. Hubs are `a`, and joined last: only ids are dealt out by them before."""
     side = lambda k: points.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("point").alias(f"p{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(may_reach(F.col("na"), F.col("nb"), F.least("na", "nb")))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").where(may_reach(F.col("na"), F.col("nb"), F.least("na", "nb")))
 
     def prepare():
         def run(na: pa.Array, nb: pa.Array, pa_: pa.Array, pb: pa.Array) -> list[pa.Array]:
-            na, nb = na.to_numpy(), nb.to_numpy()
-            return [pa.array(may_reach(na, nb, overlap_bound(points_of(pa_), points_of(pb), np.minimum(na, nb))))]
+            na, nb, x, y = na.to_numpy(), nb.to_numpy(), pa_.to_pylist(), pb.to_pylist()
+            least = np.array([min(len(i), len(j)) for i, j in zip(x, y, strict=True)], np.int64)
+            out = np.zeros(len(na), bool)
+            for size in np.unique(least).tolist():
+                at = np.flatnonzero(least == size)
+                step = max(ROOM // (4 * size), 1)
+                for part in (at[k : k + step] for k in range(0, len(at), step)):
+                    both = points_of([x[k] for k in part.tolist()] + [y[k] for k in part.tolist()])
+                    out[part] = may_link(both[: len(part)], both[len(part) :], na[part], nb[part])
+            return [pa.array(out)]
 
         return run
 
@@ -191,7 +218,7 @@ def member_filter(nodes: DataFrame) -> np.ndarray:
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, ranks, key: str, text: str) -> DataFrame:
-    """doc_id, n, a point of FINE coordinates and the whole set of the given nodes.
+    """doc_id and the whole set of the given nodes.
 
     Texts aren't dealt out: a filter of bounded size finds the documents to hash, and a join drops those it let
     through by chance. Where there are so many nodes that it lets all through, all are hashed.
@@ -207,141 +234,118 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, ranks, key: str, text: str) ->
             some = batch.filter(pa.array(inside))
             if some.num_rows:
                 sets = list(ordered_sets(some.column(1), hasher, held.value))
-                columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array([point_of(x, FINE) for x in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays([some.column(0), *columns, pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], schema.names)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], schema.names)
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("body"))
     rows = rows.select("doc_id", "body", *[F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(FILTER_BITS)).alias(f"b{k}") for k in range(FILTER_HASHES)])
-    schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("n long, point binary, shingles array<long>").fields])
+    schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("shingles array<long>").fields])
     return rows.mapInArrow(run, schema).join(nodes, "doc_id", "left_semi")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) pairs that link."""
     side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"s{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
     overlap = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("overlap"))
     return overlap.where(may_reach(F.col("na"), F.col("nb"), F.col("overlap"))).select("a", "b")
 
 
-def rectangles(leaves: DataFrame) -> DataFrame:
-    """One row for each page: its range of sizes and of components, and the maximum of each coordinate."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for page in whole_groups(batches, ["entry", "page"]):
-            n, c = page["n"].to_numpy(), page["c"].to_numpy()
-            top = points_of(page["point"]).max(axis=0)
-            out.append((page["entry"][0].as_py(), page["page"][0].as_py(), n.min(), n.max(), c.min(), c.max(), top.tobytes()))
-            if len(out) >= 10_000:
-                yield batch_of(out)
-                out = []
-        if out:
-            yield batch_of(out)
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.binary()]
-    names = ["entry", "page", "n0", "n1", "c0", "c1", "top"]
-    rows = leaves.select("entry", "page", "n", "c", "point").repartition("entry", "page").sortWithinPartitions("entry", "page")
-    return rows.mapInArrow(run, "entry long, page int, n0 long, n1 long, c0 long, c1 long, top binary")
-
-
-def page_pairs(pages: DataFrame) -> DataFrame:
-    """(entry, p, q) of pages that may hold a pair that links two components."""
-    side = lambda k: pages.select("entry", F.col("page").alias(k), *[F.col(x).alias(f"{x}{k}") for x in ("n0", "n1", "c0", "c1", "top")])
-    # The larger of two sets has at most 1 / LEAST times the shingles of the smaller.
-    near = F.greatest("n0p", "n0q") * LEAST[0] <= F.least("n1p", "n1q") * LEAST[1]
-    apart = F.least("c0p", "c0q") < F.greatest("c1p", "c1q")
-    both = side("p").join(side("q"), "entry").where((F.col("p") <= F.col("q")) & near & apart)
-
-    def prepare():
-        def run(na: pa.Array, nb: pa.Array, ma: pa.Array, mb: pa.Array, tp: pa.Array, tq: pa.Array) -> list[pa.Array]:
-            bound = overlap_bound(points_of(tp), points_of(tq), np.minimum(ma.to_numpy(), mb.to_numpy()))
-            return [pa.array(may_reach(na.to_numpy(), nb.to_numpy(), bound))]
-
-        return run
-
-    return with_arrays(both, "may boolean", ["n0p", "n0q", "n1p", "n1q", "topp", "topq"], prepare).where("may").select("entry", "p", "q")
-
+def open_entries(members: DataFrame) -> DataFrame:
+    """(entry, home): entries with points of several components, and the component of most. `members`: entry, doc_id, c.
 
-def leaf_pairs(leaves: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b) of points in paired pages that are in different components and may reach the overlap."""
-    keys = ["entry", "p", "q"]
+    A passage gives many entries with the same points; one of them stands for all.
+    """
+    same = [F.sum(F.xxhash64(F.lit(k), "doc_id").cast("decimal(38,0)")).alias(f"x{k}") for k in range(2)]
+    parts = members.groupBy("entry", "c").agg(F.count("*").alias("k"), *same)
+    totals = [F.sum(f"x{k}").alias(f"x{k}") for k in range(2)]
+    entries = parts.groupBy("entry").agg(F.sum("k").alias("m"), F.count("*").alias("kinds"), F.max_by("c", F.struct("k", "c")).alias("home"), *totals).where("kinds > 1")
+    return entries.groupBy("m", "x0", "x1").agg(F.min(F.struct("entry", "home")).alias("one")).select("one.*")
+
+
+def blocks(members: DataFrame, points: DataFrame) -> DataFrame:
+    """Rows of (entry, band, p, q): page q of all points of a band under an open entry, and page p of those that look for
+    partners there (`asks`): the points outside the entry's home component, of that band or a neighbouring one."""
+    cell = ["entry", "band"]
+    band = F.floor(F.log("n") / math.log(BAND)).cast("int")
+    under = members.join(open_entries(members), "entry").withColumns({"stray": F.col("c") != F.col("home"), "band": band}).drop("home").distinct()
+    asking = under.where("stray").withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
+    rows = asking.withColumn("asks", F.lit(True)).unionByName(under.withColumn("asks", F.lit(False)))
+    pages = lambda which: F.ceil(F.count(F.when(which, 1)) / PAGE).cast("int")
+    cells = rows.groupBy(*cell).agg(pages(F.col("asks")).alias("ps"), pages(~F.col("asks")).alias("qs")).where("ps > 0 and qs > 0")
+    own = lambda n: F.array(F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    dealt = rows.join(cells, cell).withColumn("p", F.explode(F.when(F.col("asks"), own("ps")).otherwise(every("ps"))))
+    dealt = dealt.withColumn("q", F.explode(F.when(F.col("asks"), every("qs")).otherwise(own("qs")))).drop("ps", "qs")
+    return dealt.join(points.select("doc_id", "n", "point"), ["doc_id", "n"])
+
+
+def block_pairs(rows: DataFrame, best_only: bool) -> DataFrame:
+    """(a, b), a < b, of points in different components that may link; with `best_only`, for each asking point the one of each
+    other component in its block that is bounded highest."""
+    keys = ["entry", "band", "p", "q"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-        waiting = 0
-        for block in whole_groups(batches, keys):
-            page, n, c, doc = (block[x].to_numpy() for x in ("page", "n", "c", "doc_id"))
-            points = points_of(block["point"])
-            folded = points.reshape(len(points), FOLDED, -1).sum(axis=2, dtype=np.int64)
-            loose = points[:, 0] == FULL
-            p, q = block["p"][0].as_py(), block["q"][0].as_py()
-            right = np.flatnonzero(page == q)
-            for i in np.flatnonzero(page == p).tolist():
-                j = right[right > i] if p == q else right
-                j = j[c[j] != c[i]]
-                j = j[may_reach(n[i], n[j], np.minimum(n[i], n[j]))]
-                j = j[loose[i] | loose[j] | may_reach(n[i], n[j], np.minimum(folded[i], folded[j]).sum(axis=1))]
-                j = j[may_reach(n[i], n[j], overlap_bound(points[i], points[j], np.minimum(n[i], n[j])))]
-                if len(j):
-                    found.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])]))
-                    waiting += len(j)
-            if waiting > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], ["a", "b"])
-                found, waiting = [], 0
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], ["a", "b"])
-
-    sides = pairs.withColumn("page", F.explode(F.array_distinct(F.array("p", "q"))))
-    rows = leaves.join(sides, ["entry", "page"]).select(*keys, "page", "doc_id", "n", "c", "point")
+        for table, cuts in grouped(batches, keys):
+            found: list[np.ndarray] = []
+            n, c, doc, stray, asks = (table[x].to_numpy() for x in ("n", "c", "doc_id", "stray", "asks"))
+            raw = table["point"].to_pylist()
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                points, own = points_of(raw[low:high]), slice(low, high)
+                for i, j in descend(points, n[own], np.flatnonzero(asks[own]), np.flatnonzero(~asks[own])):
+                    # Two asking points would find each other twice.
+                    kept = (c[own][i] != c[own][j]) & ~(stray[own][j] & (doc[own][j] < doc[own][i]))
+                    i, j = i[kept], j[kept]
+                    if best_only and len(i) > 1:
+                        order = np.lexsort((-np.minimum(points[i], points[j]).sum(axis=1, dtype=np.int64), c[own][j], i))
+                        i, j = i[order], j[order]
+                        first = np.ones(len(i), bool)
+                        first[1:] = (i[1:] != i[:-1]) | (c[own][j][1:] != c[own][j][:-1])
+                        i, j = i[first], j[first]
+                    if len(i):
+                        found.append(np.sort(np.stack([doc[own][i], doc[own][j]]), axis=0))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(found, axis=1), axis=1)], ["a", "b"])
+
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest id reachable by links) of every row."""
-    spark = docs.sparkSession
+    """doc_id, n_shingles and component_id (smallest id reachable by links) of every row, as a written table."""
+    with Scratch(docs.sparkSession) as scratch:
+        return stored(_groups(docs, key, text, scratch), "ngram-groups")
+
+
+def _groups(docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
     ranks = ranks_of(group_mass(docs, text))
-    path = new_path(spark, "sketches")
-    sketches(docs, ranks, key, text).write.parquet(path)
-    full = spark.read.parquet(path)
-    own = stored(full.select("doc_id", "n", "s1", "s2"), "digests")
+    full = scratch.stored(sketches(docs, ranks, key, text), "sketches")
+    own = scratch.stored(full.select("doc_id", "n", "s1", "s2"), "digests")
     filled = full.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = stored(filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "set-classes")
-    points = filled.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi")
-    met = stored(stars(points), "stars")
-    nodes = met.select(F.col("hub").alias("doc_id")).unionByName(met.select(F.col("node").alias("doc_id"))).distinct()
-    points = stored(points.join(nodes, "doc_id", "left_semi").select("doc_id", "n", "point").dropDuplicates(), "points")
-    delete(spark, path)
+    classes = scratch.stored(filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "set-classes")
+    heads = scratch.stored(filled.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi").select("doc_id", "n", "point", "entries"), "heads")
+    scratch.free(full)
+    met = scratch.stored(stars(heads), "stars")
+    points = scratch.stored(heads.join(met.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n", "point").dropDuplicates(), "points")
+    scratch.free(heads)
 
     def check(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        held = new_path(spark, "sets")
-        with shuffles_freed(spark):
-            whole_sets(docs, stored(ends, "ends"), ranks, key, text).write.parquet(held)
-        sets = spark.read.parquet(held)
-        links = stored(verified(stored(bounded(pairs, sets), "close-pairs"), sets), "links")
-        delete(spark, held)
+        """The links among pairs."""
+        ends = scratch.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
+        sets = scratch.stored(whole_sets(docs, ends, ranks, key, text), "sets")
+        links = scratch.stored(verified(pairs, sets), "links")
+        scratch.free(ends, sets)
         return links
 
-    tried = stored(met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
-    links = check(stored(bounded(tried, points), "bounded-pairs"))
-    groups = connected_components(links)
-
-    members = met.select("entry", F.col("node").alias("doc_id")).unionByName(met.select("entry", F.col("hub").alias("doc_id")).distinct())
-    members = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("entry", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    same = [F.bit_xor(F.xxhash64(F.lit(k), "doc_id")).alias(f"x{k}") for k in range(2)]
-    open_ = members.groupBy("entry").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m"), *same).where("m > 2 and c0 < c1")
-    # A passage gives many entries with the same points; one of them stands for all. Each point is there once, so none cancels out.
-    open_ = open_.groupBy("m", "x0", "x1").agg(F.min("entry").alias("entry"))
-    under = members.join(open_.select("entry"), "entry", "left_semi").join(points, "doc_id")
-    place = F.row_number().over(Window.partitionBy("entry").orderBy("n", "doc_id"))
-    leaves = stored(under.withColumn("page", F.floor((place - 1) / PAGE).cast("int")), "leaves")
-    more = stored(leaf_pairs(leaves, page_pairs(stored(rectangles(leaves), "pages"))).join(tried, ["a", "b"], "left_anti"), "leaf-pairs")
-    if not more.isEmpty():
-        links = stored(links.unionByName(check(more)), "links")
+    tried = scratch.stored(bounded(met.where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), points), "star-pairs")
+    links = check(tried)
+    for best_only in (True, False):
+        groups = connected_components(links).withColumnRenamed("node", "doc_id")
+        members = met.join(groups, "doc_id", "left").select("entry", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+        rows = blocks(scratch.stored(members, "members"), points)
+        more = scratch.stored(block_pairs(rows, best_only).join(tried, ["a", "b"], "left_anti"), "block-pairs")
+        if more.isEmpty():
+            break
+        links = scratch.stored(links.unionByName(check(more)), "links")
+        tried = scratch.stored(tried.unionByName(more), "tried")
 
     groups = connected_components(links).withColumnRenamed("node", "rep")
     known = classes.join(groups, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))

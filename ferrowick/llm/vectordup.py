@@ -88,8 +88,8 @@ def encode(vectors: DataFrame, bands: int, bits: int) -> DataFrame:
     return vectors.select("rep", "size", "grp", "dim", "vec").mapInArrow(run, schema)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of equal keys in sorted batches, each as one table."""
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole runs of equal keys in sorted batches, and where in each table its runs begin (and the last ends)."""
     rest = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -101,11 +101,18 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
             values = table[name].to_numpy()
             changed[1:] |= values[1:] != values[:-1]
         cuts = [0, *np.flatnonzero(changed).tolist()]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield table.slice(a, b - a)
+        if len(cuts) > 1:
+            yield table.slice(0, cuts[-1]), cuts
         rest = table.slice(cuts[-1]).combine_chunks()
     if rest is not None and rest.num_rows:
-        yield rest
+        yield rest, [0, rest.num_rows]
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of equal keys in sorted batches, each as one table."""
+    for table, cuts in grouped(batches, keys):
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield table.slice(a, b - a)
 
 
 def block_links(block: pa.Table, turn: np.ndarray, bits: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:

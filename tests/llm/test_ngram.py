@@ -54,10 +54,10 @@ def result(spark, tmp_path, texts):
     return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows}
 
 
-@pytest.mark.parametrize(("page", "coarse"), [(256, 256), (3, 64)])
-def test_matches_brute_force(spark, tmp_path, page, coarse, monkeypatch):
+@pytest.mark.parametrize(("page", "leaf"), [(512, 16), (5, 2)])
+def test_matches_brute_force(spark, tmp_path, page, leaf, monkeypatch):
     monkeypatch.setattr(ngramjoin, "PAGE", page)
-    monkeypatch.setattr(ngramjoin, "COARSE", coarse)
+    monkeypatch.setattr(ngramjoin, "LEAF", leaf)
     texts = variants(random.Random(page)) + cases.EDGE_TEXTS + cases.random_texts(20) + ["ONE two three four FIVE", "one  two\nthree four five"]
     assert result(spark, tmp_path, texts) == brute(dict(enumerate(texts)))
 
@@ -103,14 +103,36 @@ def test_every_row_doubled(spark, tmp_path):
     assert doubled(spark, tmp_path / "more", texts) == brute(dict(enumerate(texts)))
 
 
-@pytest.mark.parametrize("coordinates", [ngramjoin.COARSE, ngramjoin.FINE])
-def test_points_bound_overlaps(coordinates):
+def test_points_bound_overlaps():
     rng = np.random.default_rng(1)
-    for size in (10, 3000, 350 * coordinates):
+    for size in (10, 900, 5000):
         a, b = (np.unique(rng.integers(0, size * 2, size)).astype(np.uint64) for _ in range(2))
-        x, y = (np.frombuffer(ngramjoin.point_of(s, coordinates), np.uint8) for s in (a, b))
-        assert ngramjoin.overlap_bound(x, y, min(len(a), len(b))) >= len(np.intersect1d(a, b))
-    assert x[0] == ngramjoin.FULL
+        b = b[: len(b) * 4 // 5]
+        both = ngramjoin.points_of([ngramjoin.point_of(s) for s in (a, b)])
+        assert np.minimum(*both).sum() >= len(np.intersect1d(a, b))
+    crowded = np.arange(0, 64 * 600, 64, dtype=np.uint64)
+    assert set(ngramjoin.point_of(crowded * 512)) == {ngramjoin.FULL}
+
+
+@pytest.mark.parametrize("leaf", [2, 16])
+def test_boxes_miss_no_pair(leaf, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "LEAF", leaf)
+    monkeypatch.setattr(ngramjoin, "ROOM", 1 << 12)
+    rng = np.random.default_rng(2)
+    bases = [rng.integers(0, 1 << 60, 300) for _ in range(8)]
+    sets = [np.unique(np.concatenate([rng.choice(bases[k % 8], 260, replace=False), rng.integers(0, 1 << 60, k % 90)])).astype(np.uint64) for k in range(160)]
+    points, n = ngramjoin.points_of([ngramjoin.point_of(s) for s in sets]), np.array([len(s) for s in sets])
+    found = set()
+    for i, j in ngramjoin.descend(points, n, np.arange(0, 160, 3), np.arange(160)):
+        found |= set(zip(i.tolist(), j.tolist(), strict=True))
+    want = set()
+    for i in range(0, 160, 3):
+        for j in range(160):
+            overlap = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * overlap >= 75 * (n[i] + n[j] - overlap):
+                want.add((i, j))
+    assert want <= found
+    assert len(found) < 54 * 160 / 3
 
 
 def test_shingles_of_slices(monkeypatch):
