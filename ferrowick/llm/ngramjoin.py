@@ -9,23 +9,25 @@ The tree has three levels; the upper two are tables, so that their search is joi
 * Root. With MASS_GROUPS groups nearly every coordinate of a point is 0 or 1. Coordinates (shingles) are ordered by the
   mass of their group in the whole corpus, rare first. Two points that reach the overlap share a coordinate among the
   first quarter of either, so each such coordinate is an entry of the root, and points meet only under shared entries.
-  Passages that very many documents share lie last in that order and are entries for hardly any.
+  Passages that very many documents share lie last in that order and are entries for hardly any. Large sets share not
+  one but an eighth of the larger set's size among their first three eighths, so for them an entry in 2, 4, 8 ... is enough, chosen
+  by the shingle's hash: SHARED are expected in common, and the chance of none, exp(-SHARED), is below that of equal hashes.
 * Bands. Under an entry, points of sizes in a ratio of BAND share a band; only neighbouring bands can link. A band of
   over PAGE points is dealt over pages by a hash of the document.
 * Boxes. The points of a page are halved again and again at the median of the coordinate that varies most, down to LEAF
   points. A box is the maximum of each coordinate and the least size in it. Points descend into those boxes whose
   summed minima reach the overlap.
 
-A point has as many coordinates as half the set's size, a power of two, so that the bound tells long documents apart as well
-as short ones; points of more coordinates are folded to as many as the other has. Surviving pairs are verified on the
-whole sets. Work follows from what is known already:
+A point has at least as many coordinates as its set has shingles, a power of two, so that the bound tells long documents
+apart as well as short ones; points of more coordinates are folded to as many as the other has. Surviving pairs are verified
+on the whole sets. Work follows from what is known already:
 
 1. Equal sets are one class; one representative of each goes on.
 2. Under each entry all points are compared with the smallest document id there: as many pairs as points.
 3. Where the links found so far leave an entry with points of several components, those outside its largest component
    descend the boxes of all its points for partners in other components. No other pair can change a component, so no
-   link is lost. First each point takes its best partner in each other component only; once these links are
-   known, all pairs that are still in different components are taken. So components that many pairs join cost few.
+   link is lost. First each point takes its best partner only; once these links are known, all pairs that are
+   still in different components are taken. So a group that many pairs join costs a pair for each of its members.
 
 Defined results: null or blank texts and those without words have an empty set and link with nothing; texts with fewer
 than five words have their whole word sequence as one shingle; rows that share an id are one node of the graph; rows of
@@ -56,9 +58,12 @@ LEAST = (75, 100)
 #: Groups whose mass orders the root's entries: the upper bits of a hash.
 MASS_BITS = 16
 MASS_GROUPS = 1 << MASS_BITS
-#: Fewest coordinates of a point.
+#: Sets of twice SAMPLED or more have a part of their entries: of those with two, four ... times SAMPLED, every second, fourth ... one.
+SHARED = 40
+SAMPLED = 8 * SHARED
+#: Fewest coordinates of a point, and the count that stands for a coordinate that doesn't fit.
 COARSE = 64
-FULL = 255
+FULL = 15
 #: Sizes of linked sets are in a ratio of 4/3 at most, so they are in one band or in neighbouring ones.
 BAND = 1.35
 PAGE = 512
@@ -103,20 +108,34 @@ def ordered_sets(texts: pa.Array, hasher: Hasher, ranks: np.ndarray) -> Iterator
             yield np.unique(hashes[a:b])
 
 
+def entries_of(own: np.ndarray) -> np.ndarray:
+    """The root's entries of a set in order: its first quarter, or part of its first three eighths where it or a partner may be sampled."""
+    n = len(own)
+    first = n - -(-n * LEAST[0] // LEAST[1]) + (n > 0)
+    if n * LEAST[1] < 2 * SAMPLED * LEAST[0]:  # no partner has 2 * SAMPLED
+        return own[:first]
+    every = 1 << max((n // SAMPLED).bit_length() - 1, 0)
+    own = own[: first + -(-n // 8)]
+    return own[(own >> np.uint64(20)) % np.uint64(every) == 0]
+
+
 def point_of(own: np.ndarray) -> bytes:
-    """Counts in one byte each; a point with a count that doesn't fit is FULL everywhere and bounds nothing."""
-    coordinates = max(COARSE, 1 << (len(own) // 2).bit_length())
+    """Counts in four bits each, the first half of the coordinates in the lower bits; a point with a count that doesn't fit is
+    FULL everywhere and bounds nothing."""
+    coordinates = max(COARSE, 1 << max(len(own) - 1, 0).bit_length())
     counts = np.bincount((own % np.uint64(coordinates)).astype(np.int64), minlength=coordinates)
-    return (counts if counts.max() < FULL else np.full(coordinates, FULL)).astype(np.uint8).tobytes()
+    low, high = (counts if counts.max() < FULL else np.full(coordinates, FULL)).astype(np.uint8).reshape(2, -1)
+    return (low | high << 4).tobytes()
 
 
 def points_of(raw: list[bytes]) -> np.ndarray:
     """One row for each point, all folded to the fewest coordinates among them."""
-    least = min(map(len, raw), default=COARSE)
+    least = 2 * min(map(len, raw), default=COARSE // 2)
     out = np.empty((len(raw), least), np.uint16)
     for k, p in enumerate(raw):
-        own = np.frombuffer(p, np.uint8)
-        out[k] = own if len(own) == least else own.reshape(-1, least).sum(axis=0, dtype=np.uint16)
+        packed = np.frombuffer(p, np.uint8)
+        counts = np.concatenate([packed & 15, packed >> 4])
+        out[k] = counts if len(counts) == least else counts.reshape(-1, least).sum(axis=0, dtype=np.uint16)
     return out
 
 
@@ -165,7 +184,7 @@ def sketches(docs: DataFrame, ranks, key: str, text: str) -> DataFrame:
                 s1.append(digest[0])
                 s2.append(digest[1])
                 points.append(point_of(own))
-                entries.append(own[: len(own) - -(-len(own) * LEAST[0] // LEAST[1]) + 1].view(np.int64) if len(own) else np.zeros(0, np.int64))
+                entries.append(entries_of(own).view(np.int64))
             return [pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(points, pa.binary()), pa.array(entries, pa.list_(pa.int64()))]
 
         return run
@@ -175,13 +194,13 @@ def sketches(docs: DataFrame, ranks, key: str, text: str) -> DataFrame:
 
 
 def stars(points: DataFrame) -> DataFrame:
-    """(entry, hub, doc_id, n): every point under an entry that several share, and the smallest id there.
+    """(entry, hub, doc_id, n): every point under an entry with a smaller id, and the smallest there.
 
     Minima are aggregated before they are dealt out and joined back, so an entry that very many share is no one task's.
     """
     rows = points.select(F.explode("entries").alias("entry"), "doc_id", "n")
     shared = rows.groupBy("entry").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last")
-    return rows.join(shared.select("entry", "hub"), "entry")
+    return rows.join(shared.select("entry", "hub"), "entry").where("doc_id <> hub")
 
 
 def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -280,33 +299,38 @@ def blocks(members: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def block_pairs(rows: DataFrame, best_only: bool) -> DataFrame:
-    """(a, b), a < b, of points in different components that may link; with `best_only`, for each asking point the one of each
-    other component in its block that is bounded highest."""
+    """(entry, a, b, score): asking points and those of other components that they may link with; with `best_only`, for each
+    asking point the one in its block with the highest bound for its size."""
     keys = ["entry", "band", "p", "q"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in grouped(batches, keys):
-            found: list[np.ndarray] = []
-            n, c, doc, stray, asks = (table[x].to_numpy() for x in ("n", "c", "doc_id", "stray", "asks"))
+            found: list[tuple[np.ndarray, ...]] = []
+            entries, n, c, doc, stray, asks = (table[x].to_numpy() for x in ("entry", "n", "c", "doc_id", "stray", "asks"))
             raw = table["point"].to_pylist()
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
                 points, own = points_of(raw[low:high]), slice(low, high)
+                best = np.zeros(high - low)
+                partner = np.full(high - low, -1)
                 for i, j in descend(points, n[own], np.flatnonzero(asks[own]), np.flatnonzero(~asks[own])):
                     # Two asking points would find each other twice.
                     kept = (c[own][i] != c[own][j]) & ~(stray[own][j] & (doc[own][j] < doc[own][i]))
                     i, j = i[kept], j[kept]
-                    if best_only and len(i) > 1:
-                        order = np.lexsort((-np.minimum(points[i], points[j]).sum(axis=1, dtype=np.int64), c[own][j], i))
-                        i, j = i[order], j[order]
-                        first = np.ones(len(i), bool)
-                        first[1:] = (i[1:] != i[:-1]) | (c[own][j][1:] != c[own][j][:-1])
-                        i, j = i[first], j[first]
-                    if len(i):
-                        found.append(np.sort(np.stack([doc[own][i], doc[own][j]]), axis=0))
+                    score = np.minimum(points[i], points[j]).sum(axis=1, dtype=np.int64) / (n[own][i] + n[own][j])
+                    if not best_only:
+                        found.append((np.full(len(i), entries[low]), doc[own][i], doc[own][j], score))
+                        continue
+                    order = np.argsort(score, kind="stable")  # the last of a point is its best
+                    i, j, score = i[order], j[order], score[order]
+                    at = score > best[i]
+                    best[i[at]], partner[i[at]] = score[at], j[at]
+                if best_only:
+                    i = np.flatnonzero(partner >= 0)
+                    found.append((np.full(len(i), entries[low]), doc[own][i], doc[own][partner[i]], best[i]))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(found, axis=1), axis=1)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["entry", "a", "b", "score"])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "entry long, a long, b long, score double")
 
 
 def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -324,7 +348,8 @@ def _groups(docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame
     heads = scratch.stored(filled.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi").select("doc_id", "n", "point", "entries"), "heads")
     scratch.free(full)
     met = scratch.stored(stars(heads), "stars")
-    points = scratch.stored(heads.join(met.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n", "point").dropDuplicates(), "points")
+    nodes = met.select("doc_id").unionByName(met.select(F.col("hub").alias("doc_id"))).distinct()
+    points = scratch.stored(heads.join(nodes, "doc_id", "left_semi").select("doc_id", "n", "point").dropDuplicates(), "points")
     scratch.free(heads)
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -335,17 +360,21 @@ def _groups(docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame
         scratch.free(ends, sets)
         return links
 
-    tried = scratch.stored(bounded(met.where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), points), "star-pairs")
+    tried = scratch.stored(bounded(met.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), points), "star-pairs")
     links = check(tried)
     for best_only in (True, False):
         groups = connected_components(links).withColumnRenamed("node", "doc_id")
-        members = met.join(groups, "doc_id", "left").select("entry", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-        rows = blocks(scratch.stored(members, "members"), points)
-        more = scratch.stored(block_pairs(rows, best_only).join(tried, ["a", "b"], "left_anti"), "block-pairs")
-        if more.isEmpty():
-            break
-        links = scratch.stored(links.unionByName(check(more)), "links")
-        tried = scratch.stored(tried.unionByName(more), "tried")
+        members = scratch.stored(met.join(groups, "doc_id", "left").select("entry", "doc_id", "n", F.coalesce("component", "doc_id").alias("c")), "members")
+        found = scratch.stored(block_pairs(blocks(members, points), best_only), "block-pairs")
+        scratch.free(members)
+        # The best of an asking point over all blocks.
+        chosen = found.groupBy("a").agg(F.max_by("b", F.struct("score", "b")).alias("b")) if best_only else found
+        more = scratch.stored(chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "more-pairs")
+        if not more.isEmpty():
+            links = scratch.stored(links.unionByName(check(more)), "links")
+            tried = scratch.stored(tried.unionByName(more), "tried")
+        # Components only grow, so entries without a pair now have none later.
+        met = met.join(found.select("entry").distinct(), "entry", "left_semi")
 
     groups = connected_components(links).withColumnRenamed("node", "rep")
     known = classes.join(groups, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))

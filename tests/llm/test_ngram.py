@@ -110,8 +110,32 @@ def test_points_bound_overlaps():
         b = b[: len(b) * 4 // 5]
         both = ngramjoin.points_of([ngramjoin.point_of(s) for s in (a, b)])
         assert np.minimum(*both).sum() >= len(np.intersect1d(a, b))
-    crowded = np.arange(0, 64 * 600, 64, dtype=np.uint64)
-    assert set(ngramjoin.point_of(crowded * 512)) == {ngramjoin.FULL}
+    crowded = np.arange(600, dtype=np.uint64) << np.uint64(20)
+    assert set(ngramjoin.point_of(crowded)) == {255}
+    assert (ngramjoin.points_of([ngramjoin.point_of(crowded)]) == ngramjoin.FULL).all()
+
+
+def test_large_sets_share_entries():
+    rng = np.random.default_rng(3)
+    for size in (470, 490, 650, 1300, 5000, 40_000):
+        for ratio in (0.75, 0.86, 1.0):
+            b = np.unique(rng.integers(0, 1 << 63, size)).astype(np.uint64)
+            overlap = -(-3 * (len(b) + int(ratio * len(b))) // 7)  # the least that links
+            others = np.unique(rng.integers(0, 1 << 63, max(int(ratio * len(b)) - overlap, 0))).astype(np.uint64)
+            a = np.sort(np.concatenate([b[len(b) - overlap :], others // np.uint64(2)]))  # shares the last ones, what's its own comes first
+            shared = len(np.intersect1d(ngramjoin.entries_of(a), ngramjoin.entries_of(b)))
+            assert shared >= (10 if size > 480 else 1)
+            assert len(ngramjoin.entries_of(b)) < 330
+
+
+def test_long_documents_match_brute_force(spark, tmp_path):
+    rng, texts = random.Random(11), []
+    for size in (500, 620, 700, 1500, 4000):
+        base = [f"u{rng.randrange(10**6)}" for _ in range(size)]
+        for share in (0.0, 0.01, 0.02, 0.03, 0.035, 0.04):
+            texts.append(" ".join(w if rng.random() > share else f"e{rng.randrange(10**6)}" for w in base))
+        texts += [" ".join(base[: size * k // 100]) for k in (74, 76, 80)]
+    assert result(spark, tmp_path, texts) == brute(dict(enumerate(texts)))
 
 
 @pytest.mark.parametrize("leaf", [2, 16])
