@@ -3,7 +3,10 @@
 Each task splits its texts by the vocabulary's pattern into pieces and encodes each distinct piece once. A piece that
 is a token is that token. All others start as their bytes' tokens; in each round of a recursive query the rows
 (piece, position, token) join the merge table, each piece contracts its leftmost pair of minimum rank, and pieces
-without a pair are done. The recursion keeps one state for each piece. Decoding joins ids with the vocabulary and
+without a pair are done. The recursion keeps one state for each piece. A piece of over LONG_BYTES is cut into
+segments, which are encoded together and then joined two by two: the tokens about a joint are encoded anew, and where the first and
+the last of them come out as they were, so does all beyond them, as a sequence is the encoding of its text just if each
+two neighbours are that of theirs. Else more tokens are taken. Decoding joins ids with the vocabulary and
 concatenates the bytes in order.
 
 Defined results: null counts as empty, which has no ids; ids outside the vocabulary are an error in decoding; strings of
@@ -26,6 +29,8 @@ from .arrowtext import with_arrays
 
 PIECES_KEPT = 250_000
 SLICE_CHARS = 2_000_000
+#: Bytes of a piece that is encoded in one go, bytes of a segment of a longer one, and the tokens taken first on each side of a joint.
+LONG_BYTES, SEGMENT_BYTES, NEAR = 256, 64, 8
 #: Pieces and tokens of one DuckDB query.
 QUERY_PIECES, QUERY_IDS = 100_000, 1_000_000
 
@@ -69,6 +74,7 @@ class Codec:
         if max(self.ranks.values(), default=0) >= 65_536:
             raise ValueError("pairs of ids are held in 32 bits: ranks must be below 65,536")
         self.pattern = regex.compile(pattern)
+        self.tokens = {r: t for t, r in self.ranks.items()}
         self.first = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.kept: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
@@ -82,9 +88,9 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS FROM given")
         self.db.unregister("given")
 
-    def _contract(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids (little-endian, 32 bits) of pieces that are no tokens themselves."""
-        out: list[bytes] = []
+    def _contract(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of pieces."""
+        out: list[np.ndarray] = []
         for low in range(0, len(pieces), QUERY_PIECES):
             part = pieces[low : low + QUERY_PIECES]
             offsets = np.cumsum([0, *map(len, part)]).astype(np.int32)
@@ -92,9 +98,41 @@ class Codec:
             self._table("pieces", piece=pa.array(np.arange(len(part))), ids=ids)
             found = self.db.sql(ENCODE).to_arrow_table()["ids"].combine_chunks()
             values, ends = found.values.to_numpy().astype("<u4"), found.offsets.to_numpy()
-            out += [values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            out += [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return out
+
+    def _text(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+
+    def _joined(self, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """The ids of each pair's whole text, from the ids of its two halves."""
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(pairs)
+        left, near = list(range(len(pairs))), NEAR
+        while left:
+            middles = self._contract([self._text(pairs[k][0][-near:]) + self._text(pairs[k][1][:near]) for k in left])
+            again = []
+            for k, new in zip(left, middles, strict=True):
+                x, y = pairs[k]
+                if (len(x) <= near or new[0] == x[-near]) and (len(y) <= near or new[-1] == y[near - 1]):
+                    out[k] = np.concatenate([x[:-near], new, y[near:]])
+                else:
+                    again.append(k)
+            left, near = again, 4 * near
         return out
 
+    def _long(self, piece: bytes) -> np.ndarray:
+        parts = self._contract([piece[k : k + SEGMENT_BYTES] for k in range(0, len(piece), SEGMENT_BYTES)])
+        while len(parts) > 1:
+            joined = self._joined(list(zip(parts[::2], parts[1::2], strict=False)))
+            parts = joined + parts[len(parts) - len(parts) % 2 :]
+        return parts[0]
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids (little-endian, 32 bits) of pieces that are no tokens themselves."""
+        short = [p for p in pieces if len(p) <= LONG_BYTES]
+        known = dict(zip(short, self._contract(short), strict=True))
+        return [(known[p] if p in known else self._long(p)).tobytes() for p in pieces]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
         out: list[bytes] = []
@@ -107,7 +145,7 @@ class Codec:
             raw = [p.encode() for p in new]
             whole = {p: self.ranks[b].to_bytes(4, "little") for p, b in zip(new, raw, strict=True) if b in self.ranks}
             rest = [(p, b) for p, b in zip(new, raw, strict=True) if p not in whole]
-            self.kept |= whole | dict(zip([p for p, _ in rest], self._contract([b for _, b in rest]), strict=True))
+            self.kept |= whole | dict(zip([p for p, _ in rest], self._ids([b for _, b in rest]), strict=True))
             out += [b"".join(map(self.kept.__getitem__, pieces)) for pieces in split]
         return out
 

@@ -4,6 +4,8 @@ Every layout is a declarative mapping. The known field paths of a row (or of a t
 and hashed; the hash selects the mapping, which turns the row into canonical turns (role, text). Canonical
 turns are written in one template, with a loss mask over assistant texts, and can be read back.
 
+Lists of messages and fields get the canonical roles' names; rows of turns keep theirs.
+
 Defined results: null role or text counts as empty; turns are put in order of (turn, role, text), so ties
 and repeated rows have one order; rows with null conversation id form one conversation; an empty table
 gives no rows; columns outside the layout are ignored; a JSON row of no known layout has null turns.
@@ -28,12 +30,13 @@ TURNS = "array<struct<role:string,text:string>>"
 
 @dataclass(frozen=True)
 class Layout:
-    """Field paths of a layout and where its turns are: either one list of messages or one field for each turn."""
+    """Field paths of a layout and where its turns are: one list of messages, one field for each turn, or one row for each turn."""
 
     name: str
     paths: tuple[str, ...]
     items: tuple[str, str, str] | None = None  # list, role field, text field
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()  # role, fields joined by an empty line
+    rows: tuple[str, str, str, str] | None = None  # conversation, turn, role, text
 
 
 # The known layouts.
@@ -46,7 +49,8 @@ LAYOUTS = (
     Layout("prompt_completion", ("completion", "prompt"), fields=(("user", ("prompt",)), ("assistant", ("completion",)))),
     Layout("prompt_response", ("prompt", "response"), fields=(("user", ("prompt",)), ("assistant", ("response",)))),
     Layout("question_answer", ("answer", "question"), fields=(("user", ("question",)), ("assistant", ("answer",)))),
-    Layout("turn_rows", ("conv_id", "role", "text", "turn")),
+    Layout("turn_rows", ("conv_id", "role", "text", "turn"), rows=("conv_id", "turn", "role", "text")),
+    Layout("utterance_rows", ("dialog_id", "position", "speaker", "utterance"), rows=("dialog_id", "position", "speaker", "utterance")),
 )
 # Other names for the canonical roles.
 ROLE_NAMES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -121,13 +125,14 @@ def turns_from_json(df: DataFrame, json: str = "json") -> DataFrame:
 
 
 def turns_from_rows(rows: DataFrame) -> DataFrame:
-    """conv_id and turns of a table that has one row for each turn; its schema's fingerprint must be that layout's."""
+    """conv_id and turns of a table that has one row for each turn, by the mapping that its schema's fingerprint selects. Roles stay as they are."""
     layout = BY_FINGERPRINT.get(fingerprint(schema_paths(rows.schema)))
-    if layout is None or layout.name != "turn_rows":
+    if layout is None or layout.rows is None:
         raise ValueError(f"no layout of turn rows has these fields: {rows.columns}")
-    turn = F.struct("turn", canonical_role(F.col("role")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = F.sort_array(F.collect_list(turn))
-    return rows.groupBy("conv_id").agg(F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    conv, turn, role, text = layout.rows
+    one = F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    ordered = F.sort_array(F.collect_list(one))
+    return rows.groupBy(F.col(conv).alias("conv_id")).agg(F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
 def escaped(text: Column) -> Column:
@@ -175,6 +180,6 @@ def read_turns(text: Column) -> Column:
     )
 
 
-def loss_text(segments: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescaped(s["text"])), "")
+def loss_text(turns: Column) -> Column:
+    """All text under the loss mask of the turns that `read_turns` gives: that of assistants, nothing between."""
+    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")

@@ -3,8 +3,9 @@
 A text is cut into chunks where the vocabulary's own pre-tokenizer always cuts: at ASCII blanks, and between an ASCII letter
 or digit and a run of punctuation that ends a word. So the ids of a text are the ids of its chunks in turn. Chunks are cut
 and hashed (64 bits) for all texts of a batch at once, on their bytes; the library encodes those whose hash is new, and ids
-are put together by index. In texts with other blanks, or controls that may count as blanks, whole texts are encoded.
-Strings of special tokens are ordinary text; null counts as empty.
+are put together by index. Texts with other blanks, with controls that may count as blanks, or with a string of one of the
+vocabulary's special tokens are encoded whole. A special token's string becomes its id, as the library does it; null counts
+as empty.
 """
 
 from __future__ import annotations
@@ -76,8 +77,10 @@ class Encoder:
 
     def __init__(self, path: str, keeps_blanks: bool):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.keeps_blanks = keeps_blanks
+        added = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # In either case, as chunks that differ in case alone may have one hash.
+        self.whole = re.compile(b"|".join([OTHER_BLANKS.pattern, *[b"(?i:" + x + b")" for x in added]]))
         self.hasher = Hasher(byte_values(lower=not keeps_blanks))
         self._forget()
 
@@ -132,7 +135,7 @@ class Encoder:
         for low, _, flat, offsets in text_slices(*text_bytes(texts), SLICE_BYTES):
             ids = self._slice(flat, offsets)
             raw = flat.tobytes()
-            odd = np.unique(np.searchsorted(offsets, [m.start() for m in OTHER_BLANKS.finditer(raw)], "right") - 1)
+            odd = np.unique(np.searchsorted(offsets, [m.start() for m in self.whole.finditer(raw)], "right") - 1)
             for k in odd.tolist():
                 ids[k] = np.array(self._encode([raw[offsets[k] : offsets[k + 1]].decode()])[0], "<u4").tobytes()
             out += ids

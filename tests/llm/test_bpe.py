@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -47,6 +48,27 @@ def test_bounded_pieces_and_unknown_ids(reference, monkeypatch):
         own.decode([(60_000).to_bytes(4, "little")])
 
 
+def test_long_pieces(reference, monkeypatch):
+    own = bpe.Codec(public_tokenizers.path(q_bpe.VOCABULARY), public_tokenizers.PATTERN)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "etaoin", "ab", "é日a") for n in (300, 3000)]
+    texts += ["a" * n for n in (257, 1000, 1001)] + ["ab" * 700, "the" * 500, "!" * 999, "=-" * 400, "\n" * 700]
+    assert own.encode(texts) == [b"".join(i.to_bytes(4, "little") for i in reference.encode_ordinary(t)) for t in texts]
+    for name, value in (("LONG_BYTES", 5), ("SEGMENT_BYTES", 2), ("NEAR", 2)):
+        monkeypatch.setattr(bpe, name, value)
+    own.kept.clear()
+    texts = [t or "" for t in cases.EDGE_TEXTS + cases.random_texts(30) if len(t or "") < 2000]
+    texts += ["".join(rng.choice(letters) for _ in range(n)) for letters in ("etaoin", "a", "ab", "thers") for n in range(6, 40)]
+    assert own.encode(texts) == [b"".join(i.to_bytes(4, "little") for i in reference.encode_ordinary(t)) for t in texts]
+
+
+def test_a_word_of_two_hundred_thousand_letters(reference):
+    own = bpe.Codec(public_tokenizers.path(q_bpe.VOCABULARY), public_tokenizers.PATTERN)
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    assert own.encode([text])[0] == b"".join(i.to_bytes(4, "little") for i in reference.encode_ordinary(text))
+
+
 def test_encode_and_decode_apart(spark):
     using = (public_tokenizers.path(q_bpe.VOCABULARY), public_tokenizers.PATTERN)
     df = cases.documents(spark, cases.random_texts(5) + [None])

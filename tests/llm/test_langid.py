@@ -61,6 +61,12 @@ def test_edge_texts(spark, tmp_path):
         assert (rows[k]["lang_pred"] == "und") == (not letter) and 0 <= rows[k]["score"] <= 1
 
 
+def test_null_id_is_held_out(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "hello there", "en"), (1, "hello you", "en")], "doc_id long, text string, lang string")
+    rows = {r["doc_id"]: r for r in q_langid.op9_language_id(spark, cases.folder(spark, tmp_path, documents=docs)).collect()}
+    assert rows[None]["held_out"] is True and rows[1]["held_out"] == (zlib.crc32(b"1") % 5 == 0)
+
+
 def test_empty_table_and_no_labels(spark, tmp_path):
     assert q_langid.op9_language_id(spark, cases.folder(spark, tmp_path / "a", documents=cases.documents(spark, []))).count() == 0
     docs = spark.createDataFrame([(1, "hello", None), (2, None, "en")], "doc_id long, text string, lang string")

@@ -51,15 +51,36 @@ def test_repeated_rows_and_null_ids(spark):
     assert got == [(0, ""), (0, "x"), (1, ""), (1, ""), (2, LINE)]
 
 
-def test_runs_stay_disjoint_and_few(spark):
-    runs = linededup.LineRuns(spark, fanout=2, buckets=4)
+def test_null_ids_count_as_one_document(spark):
+    docs = spark.createDataFrame([(None, LINE + "\nown"), (None, LINE), (1, LINE)], "doc_id long, text string")
+    assert sorted(r["text"] for r in linededup.dedup_lines(docs).collect()) == [LINE, LINE, LINE + "\nown"]
+    got = linededup.dedup_lines(docs.unionByName(spark.createDataFrame([(2, LINE)], "doc_id long, text string"))).collect()
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in got)) == [(0, ""), (0, "own"), (1, ""), (2, LINE)]
+
+
+def test_runs_stay_disjoint_and_few(spark, tmp_path):
+    folder = f"{tmp_path}/runs"
+    runs = linededup.LineRuns(spark, folder, fanout=2, buckets=4)
     for k in range(5):
-        runs.add(spark.createDataFrame([(i % 7, i % 7, 100 * k + i) for i in range(k, k + 3)], "k1 long, k2 long, doc_id long"))
+        if k == 3:  # opened again
+            runs.close()
+            runs = linededup.LineRuns(spark, folder, fanout=2)
+            assert runs.buckets == 4 and runs.batches == 3
+        runs.add(spark.createDataFrame([(i % 7, i % 7, 1, 100 * k + i) for i in range(k, k + 3)], "k1 long, k2 long, n_docs long, last_doc long"))
     keys = [r["k1"] for run in runs.runs() for r in run.collect()]
-    assert sorted(keys) == list(range(7)) and [len(x) for x in runs.levels] == [1, 0, 1]
-    assert {r["k1"]: r["n_docs"] for r in runs.repeated(1).collect()} == {0: 1, 1: 2, 2: 3, 3: 3, 4: 3, 5: 2, 6: 1}
+    assert sorted(keys) == list(range(7)) and sorted(runs.spans) == [(0, 3), (4, 4)]
+    assert {r["k1"]: (r["n_docs"], r["last_doc"]) for r in runs.repeated(1).collect()} == {0: (1, 0), 1: (2, 101), 2: (3, 202), 3: (3, 303), 4: (3, 404), 5: (2, 405), 6: (1, 406)}
     runs.close()
 
 
+def test_later_documents_meet_earlier_lines(spark, tmp_path):
+    rows = lambda *ids: spark.createDataFrame([(k, LINE) for k in ids], "doc_id long, text string")
+    texts = lambda df: sorted((r["doc_id"], r["text"]) for r in df.collect())
+    folder = f"{tmp_path}/runs"
+    assert texts(linededup.dedup_lines(rows(5, 9), folder=folder)) == [(5, LINE), (9, LINE)]
+    assert texts(linededup.dedup_lines(rows(3), folder=folder)) == [(3, "")]
+    assert texts(linededup.dedup_lines(rows(12, 4), folder=folder)) == [(4, ""), (12, LINE)]
+
+
 def test_empty_table(spark, tmp_path):
     assert q_lines.op2_line_dedup(spark, cases.folder(spark, tmp_path, documents=cases.documents(spark, []))).count() == 0

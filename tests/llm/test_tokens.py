@@ -14,13 +14,12 @@ from ferrowick.llm import packing, q_packing, q_shards, shards, tokens
 
 from . import cases
 
-TEXTS = cases.EDGE_TEXTS + cases.random_texts() + ["<|endoftext|><|startoftext|>", " \n \t x", "a\x1cb\x1f \n", "ΑΣ ας É E\u0301 \u0301x 你好", "a  \n b\u00a0 \n\u2003c", "\x85 a"]
-ALPHABET = st.sampled_from(list(" \n\t\r\x0b\x1c\u00a0\u0301aAéß'sd12!#🙂") + ["don't", "a.'s ", "b,.", "\u200b", "ing"])
+TEXTS = cases.EDGE_TEXTS + cases.random_texts() + ["<|endoftext|><|startoftext|>", "hi <|endoftext|> there, a<|endoftext|>b", " \n \t x", "a\x1cb\x1f \n", "ΑΣ ας É E\u0301 \u0301x 你好", "a  \n b\u00a0 \n\u2003c", "\x85 a"]
+ALPHABET = st.sampled_from(list(" \n\t\r\x0b\x1c\u00a0\u0301aAéß'sd12!#🙂") + ["don't", "a.'s ", "b,.", "\u200b", "ing", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof"])
 
 
 def whole(name):
     own = Tokenizer.from_file(public_tokenizers.path(name))
-    own.encode_special_tokens = True
     return lambda text: np.array(own.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
