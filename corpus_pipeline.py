@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrowick.llm import langid, linededup, ngramjoin, q_packing, secrets
-from ferrowick.llm.common import new_path, stored
+from ferrowick.llm.common import Scratch, new_path
 
 #: A document whose best language is less probable than this under equal priors is of no known language.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -68,8 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the table documents."""
+    """Apply the stages to the table documents. A stage's table goes when the next one is written; the last stage reads its own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scratch = Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, scratch.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        scratch.free(before)
     return STAGES[-1][1](spark, docs, sf_dir)
