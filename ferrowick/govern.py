@@ -7,12 +7,14 @@ hidden: predicates and aggregates see masked values. A rule on the nullable side
 from __future__ import annotations
 
 import hashlib
+import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .model import Mask, ModelError, Role, SemanticModel
+from .plans.inspect import parts_of
 
 # The values that the names MIN and MAX stand for in constant masks.
 EXTREMES = {
@@ -69,8 +71,8 @@ def capped(df: DataFrame, role: Role, limit: int | None = None) -> DataFrame:
     return df.limit(min(limits)) if limits else df
 
 
-def check_complexity(spec, max_depth: int, max_nodes: int) -> None:
-    """Refuse a nested field selection that is too deep or too wide."""
+def check_complexity(spec, max_depth: int | None, max_nodes: int | None) -> None:
+    """Refuse a nested field selection that is too deep or too wide; None is no limit."""
 
     def measure(fields) -> tuple[int, int]:
         depth, nodes = 1, len(fields)
@@ -82,10 +84,28 @@ def check_complexity(spec, max_depth: int, max_nodes: int) -> None:
         return depth, nodes
 
     depth, nodes = measure(spec)
-    if depth > max_depth or nodes > max_nodes:
+    if max_depth is not None and depth > max_depth or max_nodes is not None and nodes > max_nodes:
         raise NotAllowed(f"selection of depth {depth} with {nodes} fields exceeds {max_depth} and {max_nodes}")
 
 
+#: Kinds of plan nodes of statements that do more than read.
+WRITES = re.compile("Insert|Command|Create|Drop|Delete|Update|Merge|Alter|Truncate|Cache|Load|Refresh|Analyze|Set[A-Z]|UseN|Call|Replace|Describe|Show")
+
+
+def check_statement(spark: SparkSession, statement: str, readable: set[str]) -> None:
+    """Refuse a statement that reads anything but `readable` tables and its own common table expressions, or that writes.
+
+    Path relations, catalog tables and temporary views of others are none of the model's, so they are refused by their
+    names. A common table expression may not be named as one of them either, as it could stand for it elsewhere.
+    """
+    relations, ctes, kinds = parts_of(spark, statement)
+    if did := sorted(k for k in kinds if WRITES.search(k)):
+        raise NotAllowed(f"only queries may be run, not {did}")
+    foreign = {r for r in relations - ctes if r not in readable} | {c for c in ctes - readable if spark.catalog.tableExists(c)}
+    if foreign:
+        raise NotAllowed(f"not among the tables that this role may read: {sorted(foreign)}")
+
+
 def result_key(df: DataFrame, role: Role) -> str:
     """A cache key that equal queries of equally governed roles share. Volatile queries have none: see plans.inspect."""
     rules = repr((sorted(role.rows.items()), sorted(role.domain_rows.items()), sorted(map(repr, role.masks.items())), sorted(role.hidden)))

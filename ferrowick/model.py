@@ -54,6 +54,8 @@ class Role:
     masks: dict[tuple[str, str], Mask] = field(default_factory=dict)
     hidden: frozenset[tuple[str, str]] = frozenset()
     row_cap: int | None = None
+    max_depth: int | None = None
+    max_fields: int | None = None
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,15 @@ VERSION = "refresh_version"
 
 
 def row_json(columns: list[str], prefix: str = "") -> Column:
-    """Canonical JSON of a row: columns by name, nulls kept."""
-    return F.to_json(F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
+    """Canonical JSON of a row: columns by name, nulls and microseconds kept."""
+    times = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    return F.to_json(F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in sorted(columns)]), {"ignoreNullFields": "false", **times})
+
+
+def without(df: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of `df` whose key is not among `keys`; null keys are equal."""
+    other = keys.select(*[F.col(f"`{k}`").alias(f"__key_{k}") for k in key])
+    return df.join(other, reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`__key_{k}`")) for k in key]), "left_anti")
 
 
 def row_delta(old: DataFrame, new: DataFrame, key: list[str], exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -46,14 +55,14 @@ def forward(ledger: DataFrame, key: list[str], version: int, schema: str) -> Dat
 def reverse(live: DataFrame, ledger: DataFrame, key: list[str], version: int, schema: str) -> DataFrame:
     """The state after a version, from the live state back: keys changed since get the old values of their first later event."""
     later = ledger.where(F.col(VERSION) > version).groupBy(*key).agg(F.min_by(F.struct("change_type", "old_values"), VERSION).alias("e"))
-    kept = live.join(later.select(*key), key, "left_anti")
+    kept = without(live, later, key)
     back = later.where("e.change_type <> 'insert'").select(F.from_json("e.old_values", schema).alias("v")).select("v.*")
     return kept.unionByName(back.select(*live.columns))
 
 
 def apply(target: DataFrame, delta: DataFrame, key: list[str], schema: str) -> DataFrame:
     """Incremental maintenance: `target` with a delta of its one input applied by key."""
-    kept = target.join(delta.select(*key), key, "left_anti")
+    kept = without(target, delta, key)
     rows = delta.where("change_type <> 'delete'").select(F.from_json("new_values", schema).alias("v")).select("v.*")
     return kept.unionByName(rows.select(*target.columns))
 
@@ -64,7 +73,7 @@ def land(target: DataFrame, rows: DataFrame, key: list[str] | None, mode: str) -
         return rows
     if not key:
         return target.unionByName(rows)
-    return target.join(rows.select(*key).distinct(), key, "left_anti").unionByName(rows)
+    return without(target, rows, key).unionByName(rows)
 
 
 def latest_changes(events: DataFrame, key: list[str], order: list[str], op: str = "op") -> DataFrame:

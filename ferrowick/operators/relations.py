@@ -108,8 +108,10 @@ def select(engine, table: str, fields: list, where_: dict | None = None, order:
         df = df.offset(offset)
     df = engine.capped(df, limit)
     df, columns = selected(engine, table, df, fields)
-    out = df.select(*[c.alias(n) for n, c in columns])
-    return out
+    # The joins of nested selections keep no order.
+    if order and any(isinstance(f, dict) for f in fields):
+        df = df.orderBy(*order_by(order))
+    return df.select(*[c.alias(n) for n, c in columns])
 
 
 def normalized(engine, table: str, fields: list) -> dict[str, DataFrame]:

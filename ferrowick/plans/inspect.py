@@ -38,10 +38,17 @@ def attribute_names(spark: SparkSession, condition: str) -> set[str]:
 
 def tables_of(spark: SparkSession, sql: str) -> set[str]:
     """The relations that a statement reads."""
+    relations, ctes, _ = parts_of(spark, sql)
+    return relations - ctes
+
+
+def parts_of(spark: SparkSession, sql: str) -> tuple[set[str], set[str], set[str]]:
+    """(relations that a statement names, names of its common table expressions, kinds of its plan's nodes)."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    found, ctes, todo = set(), set(), [plan]
+    found, ctes, kinds, todo = set(), set(), set(), [plan]
     while todo:
         node = todo.pop()
+        kinds.add(_kind(node))
         if _kind(node) == "UnresolvedRelation":
             found.add(node.tableName())
         if _kind(node) == "UnresolvedWith":
@@ -59,7 +66,7 @@ def tables_of(spark: SparkSession, sql: str) -> set[str]:
                     except Exception:  # noqa: BLE001  an expression of another shape has no plan
                         pass
                 inner += _items(x.children())
-    return found - ctes
+    return found, ctes, kinds
 
 
 def dependencies(spark: SparkSession, views: dict[str, str]) -> tuple[list[str], list[str]]:

@@ -34,6 +34,8 @@ class Engine:
         return replace(self, overlay=self.overlay | overlay)
 
     def select(self, table: str, fields: list, **options) -> DataFrame:
+        role = self.model.role(self.role)
+        govern.check_complexity(fields, role.max_depth, role.max_fields)
         return relations.select(self, table, fields, **options)
 
     def aggregate(self, table: str, spec: dict, **options) -> DataFrame:
@@ -46,11 +48,14 @@ class Engine:
         return self.capped(aggregates.metric_query(self, names, dimensions, filters))
 
     def sql(self, statement: str) -> DataFrame:
-        """Spark SQL over the governed tables of the model that the role may read, and its metrics by metric('name')."""
-        for name, table in self.model.tables.items():
-            role = self.model.role(self.role)
-            if role.domains is None or table.domain in role.domains:
+        """A Spark SQL query over the governed tables of the model that the role may read, and its metrics by metric('name')."""
+        role = self.model.role(self.role)
+        readable = {name for name, table in self.model.tables.items() if role.domains is None or table.domain in role.domains}
+        expanded = aggregates.expand_metrics(statement, self.model)
+        govern.check_statement(self.spark, expanded, readable)
+        for name in self.model.tables:
+            if name in readable:
                 self.table(name).createOrReplaceTempView(name)
             else:
                 self.spark.catalog.dropTempView(name)
-        return self.capped(self.spark.sql(aggregates.expand_metrics(statement, self.model)))
+        return self.capped(self.spark.sql(expanded))

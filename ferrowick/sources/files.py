@@ -69,6 +69,18 @@ class SqliteReader(DataSourceReader):
         yield from self._rows(f'SELECT {columns} FROM "{self.table}" WHERE rowid >= ? AND rowid < ?', part.low, part.high)
 
 
+def affinity(declared: str) -> T.DataType:
+    """The type for a column's declared one, by the rules by which that database stores values; numbers that may be whole or not are doubles."""
+    name = declared.upper()
+    if "INT" in name or "BOOL" in name:
+        return T.LongType()
+    if any(x in name for x in ("CHAR", "CLOB", "TEXT", "DATE", "TIME")):
+        return T.StringType()
+    if "BLOB" in name:
+        return T.BinaryType()
+    return T.DoubleType() if any(x in name for x in ("REAL", "FLOA", "DOUB", "NUMERIC", "DECIMAL")) else T.StringType()
+
+
 class SqliteSource(DataSource):
     """Options path, table and parts; read by ranges of row ids. The file must be where the executors see it."""
 
@@ -77,10 +89,9 @@ class SqliteSource(DataSource):
         return "sqlite_file"
 
     def schema(self) -> T.StructType:
-        kinds = {"INT": T.LongType(), "REA": T.DoubleType(), "FLO": T.DoubleType(), "DOU": T.DoubleType(), "BLO": T.BinaryType()}
         with sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True) as db:
             columns = db.execute(f"PRAGMA table_info(\"{self.options['table']}\")").fetchall()
-        return T.StructType([T.StructField(c[1], kinds.get(c[2].upper()[:3], T.StringType())) for c in columns])
+        return T.StructType([T.StructField(c[1], affinity(c[2])) for c in columns])
 
     def reader(self, schema: T.StructType) -> SqliteReader:
         return SqliteReader(self.options["path"], self.options["table"], schema, int(self.options.get("parts", "8")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..mv.delta import content_hash, latest_changes
+from ..mv.delta import content_hash, latest_changes, without
 
 
 def debezium(df: DataFrame, column: str, row_schema: str) -> DataFrame:
@@ -31,7 +31,7 @@ def land_changes(events: DataFrame, key: list[str], order: list[str], folder: st
         before = read_version(spark, folder, number - 1)
         # Keys touched by the batch leave the state; those whose last event is no delete come back.
         fresh = latest_changes(batch, key, order)
-        kept = fresh if before is None else before.join(batch.select(*key).distinct(), key, "left_anti").unionByName(fresh)
+        kept = fresh if before is None else without(before, batch, key).unionByName(fresh)
         kept.write.mode("overwrite").parquet(f"{folder}/version={number}")
 
     return events.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -45,12 +45,16 @@ def read_version(spark: SparkSession, folder: str, number: int) -> DataFrame | N
 
 
 def poll(df: DataFrame, watermark: str, last, limit: int | None = None) -> tuple[DataFrame, object]:
-    """Rows beyond a high-water mark, oldest first, and the new mark. The mark is compared in the column's own type."""
+    """Rows beyond a high-water mark, oldest first, and the new mark. The mark is compared in the column's own type.
+
+    With a limit, the rows that share the last one's mark come too, as the next poll asks for greater ones only.
+    """
     new = df if last is None else df.where(F.col(watermark) > F.lit(last))
-    new = new.orderBy(watermark)
-    new = new.limit(limit) if limit is not None else new
-    mark = new.agg(F.max(watermark)).first()[0]
-    return new, last if mark is None else mark
+    some = new if limit is None else new.orderBy(watermark).limit(limit)
+    mark = some.agg(F.max(watermark)).first()[0]
+    if mark is None:
+        return new.limit(0), last
+    return new.where(F.col(watermark) <= F.lit(mark)).orderBy(watermark), mark
 
 
 def poll_replaced(df: DataFrame, last: tuple[int, int] | None) -> tuple[bool, tuple[int, int]]:
