@@ -193,14 +193,15 @@ def sketches(docs: DataFrame, ranks, key: str, text: str) -> DataFrame:
     return with_arrays(rows, "n long, s1 long, s2 long, point binary, entries array<long>", ["body"], prepare).drop("body")
 
 
-def stars(points: DataFrame) -> DataFrame:
+def stars(points: DataFrame, scratch: Scratch) -> DataFrame:
     """(entry, hub, doc_id, n): every point under an entry with a smaller id, and the smallest there.
 
-    Minima are aggregated before they are dealt out and joined back, so an entry that very many share is no one task's.
+    Minima are aggregated before they are dealt out, and joined back from a table, a plain join that can be split where very many share
+    an entry.
     """
     rows = points.select(F.explode("entries").alias("entry"), "doc_id", "n")
     shared = rows.groupBy("entry").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last")
-    return rows.join(shared.select("entry", "hub"), "entry").where("doc_id <> hub")
+    return rows.join(scratch.stored(shared.select("entry", "hub"), "hubs"), "entry").where("doc_id <> hub")
 
 
 def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -281,7 +282,7 @@ def open_entries(members: DataFrame) -> DataFrame:
     return entries.groupBy("m", "x0", "x1").agg(F.min(F.struct("entry", "home")).alias("one")).select("one.*")
 
 
-def blocks(members: DataFrame, points: DataFrame) -> DataFrame:
+def blocks(members: DataFrame, points: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows of (entry, band, p, q): page q of all points of a band under an open entry, and page p of those that look for
     partners there (`asks`): the points outside the entry's home component, of that band or a neighbouring one."""
     cell = ["entry", "band"]
@@ -293,7 +294,7 @@ def blocks(members: DataFrame, points: DataFrame) -> DataFrame:
     cells = rows.groupBy(*cell).agg(pages(F.col("asks")).alias("ps"), pages(~F.col("asks")).alias("qs")).where("ps > 0 and qs > 0")
     own = lambda n: F.array(F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    dealt = rows.join(cells, cell).withColumn("p", F.explode(F.when(F.col("asks"), own("ps")).otherwise(every("ps"))))
+    dealt = rows.join(scratch.stored(cells, "cells"), cell).withColumn("p", F.explode(F.when(F.col("asks"), own("ps")).otherwise(every("ps"))))
     dealt = dealt.withColumn("q", F.explode(F.when(F.col("asks"), every("qs")).otherwise(own("qs")))).drop("ps", "qs")
     return dealt.join(points.select("doc_id", "n", "point"), ["doc_id", "n"])
 
@@ -347,7 +348,7 @@ def _groups(docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame
     classes = scratch.stored(filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "set-classes")
     heads = scratch.stored(filled.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi").select("doc_id", "n", "point", "entries"), "heads")
     scratch.free(full)
-    met = scratch.stored(stars(heads), "stars")
+    met = scratch.stored(stars(heads, scratch), "stars")
     nodes = met.select("doc_id").unionByName(met.select(F.col("hub").alias("doc_id"))).distinct()
     points = scratch.stored(heads.join(nodes, "doc_id", "left_semi").select("doc_id", "n", "point").dropDuplicates(), "points")
     scratch.free(heads)
@@ -365,7 +366,7 @@ def _groups(docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame
     for best_only in (True, False):
         groups = connected_components(links).withColumnRenamed("node", "doc_id")
         members = scratch.stored(met.join(groups, "doc_id", "left").select("entry", "doc_id", "n", F.coalesce("component", "doc_id").alias("c")), "members")
-        found = scratch.stored(block_pairs(blocks(members, points), best_only), "block-pairs")
+        found = scratch.stored(block_pairs(blocks(members, points, scratch), best_only), "block-pairs")
         scratch.free(members)
         # The best of an asking point over all blocks.
         chosen = found.groupBy("a").agg(F.max_by("b", F.struct("score", "b")).alias("b")) if best_only else found
