@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,9 +17,11 @@ WORD_SEPARATORS = f"[{BLANKS}]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where unset (tests), one of our own, set for the session."""
+    """The folder named in spark.checkpoint.dir; where unset in local mode (tests), one of our own, set for the session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="ferrowick-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
