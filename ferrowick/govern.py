@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .model import Mask, ModelError, Role, SemanticModel
+from .model import Mask, ModelError, Role, SemanticModel, Table
 from .plans.inspect import parts_of
 
 # The values that the names MIN and MAX stand for in constant masks.
@@ -53,12 +53,17 @@ def visible_columns(columns: list[str], role: Role, table: str) -> list[str]:
     return [c for c in columns if (table, c) not in role.hidden]
 
 
+def may_read(role: Role, table: Table) -> bool:
+    """Whether the table is of the role's domains."""
+    return table.derived or role.domains is None or table.domain in role.domains
+
+
 def governed(df: DataFrame, model: SemanticModel, role_name: str, table: str) -> DataFrame:
     """`df` as the role sees it: rows, then masks, then visible columns. Row rules see true values."""
-    role, domain = model.role(role_name), model.table(table).domain
-    if role.domains is not None and domain not in role.domains:
-        raise NotAllowed(f"{role_name} may not read domain {domain}")
-    rule = role.rows.get(table, role.domain_rows.get(domain))
+    role, known = model.role(role_name), model.table(table)
+    if not may_read(role, known):
+        raise NotAllowed(f"{role_name} may not read domain {known.domain}")
+    rule = role.rows.get(table, None if known.derived else role.domain_rows.get(known.domain))
     out = df.where(rule) if rule else df
     masks = {c: m for (t, c), m in role.masks.items() if t == table}
     shown = visible_columns(df.columns, role, table)

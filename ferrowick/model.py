@@ -11,12 +11,14 @@ class ModelError(ValueError):
 
 @dataclass(frozen=True)
 class Table:
-    """A registered relation. `key` identifies a row; `presets` are column expressions set on insert or update."""
+    """A registered relation. `key` identifies a row; `presets` are column expressions set on insert or update. A `derived`
+    one holds what a role's statement read, so it belongs to no domain and has rules only by its own name."""
 
     name: str
     key: tuple[str, ...] = ()
     domain: str = "default"
     presets: tuple[tuple[str, str], ...] = ()
+    derived: bool = False
 
 
 @dataclass(frozen=True)

@@ -117,14 +117,3 @@ def assign(df: DataFrame, at: str, calendar_windows: DataFrame, most: int = 100_
 def deadline(end: Column, lateness: str) -> Column:
     """When a window is sealed: its end and the time allowed to late rows."""
     return end + F.expr(f"INTERVAL {lateness}")
-
-
-def freshness(now: datetime, refreshed: datetime | None, ttl: timedelta | None = None, token: str | None = None, seen: str | None = None) -> str:
-    """FRESH or STALE by age, by change of a token, or by both; never refreshed is STALE."""
-    if refreshed is None:
-        return "STALE"
-    if ttl is not None and now - refreshed < ttl:
-        return "FRESH"
-    if token is not None:
-        return "FRESH" if token == seen else "STALE"
-    return "STALE"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +12,10 @@ from pyspark.sql import functions as F
 
 from . import functions as fn
 from .demo import MODEL, engine
-from .mv import bitemporal, delta, rewrite
+from .mv import bitemporal, delta, history, refresh, rewrite
 from .operators import aggregates, graph, paging, relations, vectors
 from .operators.filters import jsonapi_request, order_by, rest_where, where
-from .plans import calendars, inspect, quality
+from .plans import calendars, freshness, inspect, quality
 from .sources import responses
 from .streaming import changes
 
@@ -467,6 +470,22 @@ def land_upsert(spark, sf):
 
 # --- Rewrites onto materialized views ---
 
+
+def _shared(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; where it is unset in local mode (tests), one of our own, set for the session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="ferrowick-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def _store(spark: SparkSession, sf: str, use: str = "views") -> refresh.Store:
+    """The store of the views over a folder of tables; a query that runs again refreshes its view."""
+    return refresh.Store(spark, f"{_shared(spark)}/{use}/{hashlib.md5(sf.encode()).hexdigest()}")
+
 _BY_SEGMENT = rewrite.AggregateQuery("orders", ("customer",), ("customer__c_mktsegment", "o_orderstatus"), (("n", "count", "*"), ("low", "min", "o_orderkey"), ("keys", "sum", "o_orderkey"), ("total", "count", "o_orderkey")))
 
 
@@ -474,7 +493,7 @@ _BY_SEGMENT = rewrite.AggregateQuery("orders", ("customer",), ("customer__c_mkts
 def mv_join_rewrite(spark, sf):
     e = engine(spark, sf)
     view = rewrite.JoinView("orders_customer", "orders", ("customer",))
-    catalog = rewrite.Catalog(joins=(view,), stored={view.name: rewrite.AggregateQuery("orders", ("customer",)).base(e)})
+    catalog = rewrite.Catalog(joins=(view,), stored={view.name: refresh.stored_view(_store(spark, sf), view.name, rewrite.AggregateQuery("orders", ("customer",)).base(e))})
     asked = rewrite.AggregateQuery("orders", ("customer",), ("customer__c_mktsegment",), (("n", "count", "*"), ("top", "max", "o_orderkey")), frozenset({"o_orderstatus = 'F'"}))
     out, used = rewrite.answer(e, asked, catalog)
     assert used == view.name
@@ -485,7 +504,7 @@ def mv_join_rewrite(spark, sf):
 def mv_join_partial(spark, sf):
     e = engine(spark, sf)
     view = rewrite.JoinView("lines_part", "lineitem", ("part",))
-    catalog = rewrite.Catalog(joins=(view,), stored={view.name: rewrite.AggregateQuery("lineitem", ("part",)).base(e)})
+    catalog = rewrite.Catalog(joins=(view,), stored={view.name: refresh.stored_view(_store(spark, sf), view.name, rewrite.AggregateQuery("lineitem", ("part",)).base(e))})
     asked = rewrite.AggregateQuery("lineitem", ("part", "supplier"), ("l_returnflag", "part__p_size", "supplier__s_nationkey"), (("n", "count", "*"),))
     out, used = rewrite.answer(e, asked, catalog)
     assert used == view.name
@@ -496,7 +515,7 @@ def mv_join_partial(spark, sf):
 def mv_agg_rewrite(spark, sf):
     e = engine(spark, sf)
     view = rewrite.AggregateView("by_segment", _BY_SEGMENT)
-    catalog = rewrite.Catalog(aggregates=(view,), stored={view.name: view.fill(e)})
+    catalog = rewrite.Catalog(aggregates=(view,), stored={view.name: refresh.stored_view(_store(spark, sf), view.name, view.fill(e))})
     asked = rewrite.AggregateQuery("orders", ("customer",), ("customer__c_mktsegment",), (("orders", "count", "*"), ("first", "min", "o_orderkey"), ("mean", "avg", "o_orderkey")), frozenset({"o_orderstatus <> 'P'"}))
     out, used = rewrite.answer(e, asked, catalog)
     assert used == view.name
@@ -661,12 +680,8 @@ def graph_degree(spark, sf):
 
 def _checkpointed(spark: SparkSession) -> None:
     """Iterations cut lineage with checkpoints; a session without a folder for them (tests) gets one."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ferrowick-"))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(_shared(spark))
 
 
 @query()
@@ -801,3 +816,75 @@ def table_function(spark, sf):
             yield pa.RecordBatch.from_arrays([b.column(0), pc.multiply(b.column(1), 0.01)], ["id", "score"])
 
     return quality.contracted(given.mapInArrow(score, "id long, score double"), {"id": "bigint", "score": "double"})
+
+
+# --- Stored views, entities with history, vaults, probes ---
+
+
+@query("""SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY 1""")
+def mv_refresh(spark, sf):
+    """Created, replaced, and skipped by a refresh with more rows than the view may hold."""
+    orders = engine(spark, sf).table("orders")
+    by_status = lambda df: df.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    store = _store(spark, sf, f"refresh-{uuid.uuid4().hex}")
+    assert store.refresh("by_status", by_status(orders)) == "CREATED"
+    assert store.refresh("by_status", by_status(orders.where("o_totalprice > 1000")), max_rows=10) == "REPLACED"
+    assert store.refresh("by_status", orders.selectExpr("o_orderstatus", "o_orderkey AS n"), max_rows=10) == "SKIPPED"
+    return store.read("by_status")
+
+
+@query("""SELECT c_mktsegment, count(*) AS n, max(o_orderkey) AS top FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY 1""")
+def ctas_query(spark, sf):
+    """A table from a governed statement, read by another; the role's rules hold in it."""
+    e = refresh.create_table(engine(spark, sf, "sales"), _store(spark, sf, f"made-{uuid.uuid4().hex}"), "placed", "SELECT o_orderkey, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+    return e.sql("SELECT c_mktsegment, count(*) AS n, max(o_orderkey) AS top FROM placed GROUP BY 1")
+
+
+@query("""SELECT c_custkey, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderstatus = 'F' AND o_totalprice > 5000 GROUP BY 1 HAVING count(*) > 1""")
+def view_inlining(spark, sf):
+    """Views over views, named in any order, under a role's rules."""
+    views = {"busy": "SELECT * FROM per_customer WHERE n > 1", "per_customer": "SELECT c_custkey, count(*) AS n FROM customer JOIN large ON o_custkey = c_custkey GROUP BY 1", "large": "SELECT * FROM orders WHERE o_totalprice > 5000"}
+    return refresh.with_views(engine(spark, sf, "sales"), views).sql("SELECT * FROM busy")
+
+
+_SCD2 = """WITH c AS (SELECT user_id, event_type, ts, event_id, row_number() OVER w AS k, lag(event_type) OVER w AS was FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+h AS (SELECT user_id, event_type, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to FROM c WHERE k = 1 OR event_type IS DISTINCT FROM was) """
+
+
+@query(_SCD2 + "SELECT * FROM h")
+def entity_scd2(spark, sf):
+    return history.scd2(engine(spark, sf).table("events"), ["user_id"], ["event_type"], "ts", ["event_id"])
+
+
+@query(_STATES + "SELECT id, status, price FROM s2")
+def entity_snapshot(spark, sf):
+    log = None
+    for rows, at in zip(_states(spark, sf), _TIMES, strict=True):
+        log = history.record(aggregates.Entity(("id",), ("status", "price")), "snapshot", log, rows, at)
+    return bitemporal.snapshot_as_of(log, "2024-02-15 00:00:00")
+
+
+_HASHED = "md5(coalesce(length({0}::VARCHAR) || ':' || {0}::VARCHAR, '-'))"
+
+
+@query(f"""SELECT {_HASHED.format("o_custkey")} AS hub_key, o_custkey, min(o_orderdate) AS first_seen FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey""")
+def vault_hub(spark, sf):
+    return history.hub(engine(spark, sf).table("orders"), ["o_custkey"], "o_orderdate")
+
+
+@query(f"""SELECT md5(length(l_partkey::VARCHAR) || ':' || l_partkey || length(l_suppkey::VARCHAR) || ':' || l_suppkey) AS link_key, {_HASHED.format("l_partkey")} AS part, {_HASHED.format("l_suppkey")} AS supplier, min(l_shipdate) AS first_seen
+FROM lineitem WHERE l_partkey IS NOT NULL AND l_suppkey IS NOT NULL GROUP BY l_partkey, l_suppkey""")
+def vault_link(spark, sf):
+    return history.link(engine(spark, sf).table("lineitem"), {"part": ["l_partkey"], "supplier": ["l_suppkey"]}, "l_shipdate")
+
+
+@query(_SCD2 + f"""SELECT {_HASHED.format("user_id")} AS hub_key, event_type, {_HASHED.format("event_type")} AS state, valid_from, valid_to FROM h""")
+def vault_satellite(spark, sf):
+    return history.satellite(engine(spark, sf).table("events"), ["user_id"], ["event_type"], "ts", ["event_id"])
+
+
+@query("""SELECT 'watermark' AS kind, max(event_id)::VARCHAR AS token FROM events UNION ALL SELECT 'count', count(*)::VARCHAR FROM events""")
+def freshness_probes(spark, sf):
+    events = engine(spark, sf).table("events")
+    tokens = [freshness.probe(events, kind, "event_id").select(F.lit(kind).alias("kind"), "token") for kind in ("watermark", "count")]
+    return tokens[0].unionByName(tokens[1])

@@ -82,8 +82,6 @@ def test_calendars():
     assert calendars.recurrences("FREQ=MONTHLY;BYMONTHDAY=15", d(2024, 1, 1), d(2024, 2, 20)) == [d(2024, 1, 15), d(2024, 2, 15)]
     with pytest.raises(ValueError):
         calendars.recurrences("FREQ=DAILY;COUNT=3", d(2024, 1, 1), d(2024, 2, 1))
-    now = datetime.datetime(2024, 1, 2)
-    assert calendars.freshness(now, None) == "STALE" and calendars.freshness(now, now, datetime.timedelta(1)) == "FRESH" and calendars.freshness(now, now, None, "a", "b") == "STALE"
 
 
 def test_quality_and_contracts(spark):
