@@ -130,8 +130,16 @@ def write_result(df: DataFrame, path: str, kind: str) -> None:
 
 
 def deliver(df: DataFrame, path: str, threshold: int = 1000, kind: str = "parquet") -> tuple[str, DataFrame | None]:
-    """("inline", rows) for results of up to `threshold` rows; larger ones are written: ("redirect", None)."""
-    if len(df.limit(threshold + 1).collect()) <= threshold:
-        return "inline", df.limit(threshold)
-    write_result(df, path, kind)
+    """("inline", rows) for results of up to `threshold` rows, ("redirect", None) for larger ones, which are at `path`.
+
+    The query runs once: its rows are written as Parquet, at `path` or beside it where another kind is asked for, and
+    counted from there. Rows given inline are read from that table.
+    """
+    held = path if kind == "parquet" else f"{path}.rows"
+    df.write.mode("overwrite").parquet(held)
+    rows = df.sparkSession.read.schema(df.schema).parquet(held)
+    if rows.count() <= threshold:
+        return "inline", rows
+    if kind != "parquet":
+        write_result(rows, path, kind)
     return "redirect", None

@@ -128,6 +128,10 @@ def test_files(spark, tmp_path):
     files.write_result(nested, str(tmp_path / "out"), "csv")
     assert spark.read.csv(str(tmp_path / "out"), header=True).columns == ["a", "s.x", "s.y"]
     assert files.deliver(spark.range(5), str(tmp_path / "o1"), 5)[0] == "inline" and files.deliver(spark.range(6), str(tmp_path / "o2"), 5)[0] == "redirect"
+    rolled = spark.range(6).selectExpr("id", "rand() AS x", "named_struct('a', id) AS s")
+    kind, rows = files.deliver(rolled, str(tmp_path / "o3"), 6, "csv")
+    assert kind == "inline" and rows.collect() == rows.collect() and rows.columns == rolled.columns
+    assert files.deliver(rolled, str(tmp_path / "o4"), 5, "csv")[0] == "redirect" and spark.read.csv(str(tmp_path / "o4"), header=True).count() == 6
     assert spark.read.parquet(str(tmp_path / "o2")).count() == 6
 
 
